@@ -1,0 +1,207 @@
+"""Exact percentiles per group by distributed multi-select over sorted runs.
+
+A run is a sorted array of values of one group held by one partition. Runs of
+different files or days are combined by a union of their tables, and percentiles
+of the union are exact: the rank error is zero.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyloom.operators.heavy import Heavy, heavy_keys
+
+SALT = "__salt"
+RUNS = "group_id long, run int, n int, vals array<long>"
+
+
+def build_runs(
+    values: DataFrame, group: str, value: str, row_key: str, profile: DataFrame | None = None,
+    run_rows: int = 1_024, most_groups: int = 200_000,
+) -> DataFrame:
+    """Sorted runs of about ``run_rows`` values (or rows / most_groups, if more).
+
+    Groups above that size are spread by a hash of ``row_key`` over as many runs as
+    they need, so no task collects an unbounded group. ``profile`` may give a
+    cheaper table with the group column to size groups from; it only affects the
+    length of runs. Null groups and null values are left out.
+    """
+    seen = (values if profile is None else profile).select(F.col(group).alias("group_id"))
+    heavy = heavy_keys(seen, "group_id", run_rows, most_groups)
+    rows = values.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(
+        F.col(group).cast("long").alias("group_id"), F.col(value).cast("long").alias("v"), F.col(row_key).alias("r")
+    )
+    if heavy.counts:
+        # fewer than most_groups rows, whatever the data
+        side = values.sparkSession.createDataFrame(
+            [(k, math.ceil(n / heavy.limit)) for k, n in heavy.counts.items()], "group_id long, parts int"
+        )
+        rows = rows.join(F.broadcast(side), "group_id", "left").withColumn(
+            "run", F.pmod(F.hash("r"), F.coalesce("parts", F.lit(1)))
+        )
+    else:
+        rows = rows.withColumn("run", F.lit(0))
+    return (
+        rows.groupBy("group_id", "run")
+        .agg(F.sort_array(F.collect_list("v")).alias("vals"))
+        .select("group_id", "run", F.size("vals").alias("n"), "vals")
+    )
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    col = batch.column(batch.schema.get_field_index(name))
+    return col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+
+
+def _round(state):
+    """Count three ways around the pivots and propose medians of both remainders, run by run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, target, low, high, pivot = state.value
+        for batch in batches:
+            gid = batch.column(0).to_numpy(zero_copy_only=False)
+            offsets, flat = _lists(batch, "vals")
+            a, b = np.searchsorted(group, gid, "left"), np.searchsorted(group, gid, "right")
+            out = []
+            for r in np.flatnonzero(b > a):
+                v = flat[offsets[r] : offsets[r + 1]]
+                for k in range(a[r], b[r]):
+                    i, j = np.searchsorted(v, low[k], "right"), np.searchsorted(v, high[k], "left")
+                    if low[k] == MIN:
+                        i = 0
+                    if high[k] == MAX:
+                        j = len(v)
+                    if i >= j:
+                        continue
+                    part = v[i:j]
+                    x, y = np.searchsorted(part, pivot[k], "left"), np.searchsorted(part, pivot[k], "right")
+                    m = len(part)
+                    left = part[(x - 1) // 2] if x else 0
+                    right = part[y + (m - y - 1) // 2] if m > y else 0
+                    out.append((target[k], x, y - x, m - y, left, right))
+            if out:
+                cols = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in cols], ["target", "less", "equal", "more", "left", "right"]
+                )
+
+    return run
+
+
+MIN, MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _first(groups):
+    """Each run's median and size, the first proposals."""
+
+    def run(batches):
+        for batch in batches:
+            gid = batch.column(0).to_numpy(zero_copy_only=False)
+            offsets, flat = _lists(batch, "vals")
+            use = np.flatnonzero(np.isin(gid, groups.value) & (offsets[1:] > offsets[:-1]))
+            a, b = offsets[use], offsets[use + 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gid[use]), pa.array((b - a).astype(np.int64)), pa.array(flat[a + (b - a - 1) // 2].astype(np.int64))],
+                ["group_id", "weight", "median"],
+            )
+
+    return run
+
+
+def weighted_medians(key: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower weighted median of each key."""
+    keep = weight > 0
+    key, value, weight = key[keep], value[keep], weight[keep]
+    order = np.lexsort((value, key))
+    key, value, weight = key[order], value[order], weight[order]
+    keys, start, at = np.unique(key, return_index=True, return_inverse=True)
+    run = np.cumsum(weight)
+    base = np.r_[0, run][start]
+    total = np.add.reduceat(weight, start) if len(start) else weight
+    reached = (run - base[at]) * 2 >= total[at]
+    pick = np.flatnonzero(reached)
+    first = pick[np.unique(at[pick], return_index=True)[1]]
+    return keys, value[first]
+
+
+def select_percentiles(runs: DataFrame, percents: tuple[int, ...], most_rounds: int = 200) -> DataFrame:
+    """Value at rank ceil(p * n / 100) for each group and p: group_id, n, p50, ...
+
+    Groups of one run have one partition to ask: its value at the rank is the pivot
+    and the run itself counts it. Groups of several runs go through rounds. In each,
+    every run counts its values below, at and above the group's pivot and proposes
+    the medians of what is left on either side; the counts decide which side the
+    rank lies on, the other is discarded, and the weighted median of the proposals
+    is the next pivot, which at least a quarter of the remaining values lie on
+    either side of. ``runs`` should be materialised. The driver holds one range per
+    group and percent of the groups with several runs; build_runs bounds their
+    number by its parameter most_groups.
+    """
+    spark = runs.sparkSession
+    sc = spark.sparkContext
+    sizes = runs.groupBy("group_id").agg(F.sum(F.col("n").cast("long")).alias("n"), F.count("*").alias("k"))
+    several = {r["group_id"]: r["n"] for r in sizes.where("k > 1").select("group_id", "n").collect()}
+    rank = lambda p: F.expr(f"cast((n * {int(p)} + 99) div 100 as int)")
+    many = np.array(sorted(several), np.int64)
+    schema = "group_id long, n long, " + ", ".join(f"p{p} long" for p in percents)
+    if not len(many):
+        found = []
+        single = runs
+    else:
+        ids = sc.broadcast(many)
+        side = spark.createDataFrame([(int(g),) for g in many], "group_id long")
+        big = runs.join(F.broadcast(side), "group_id", "left_semi")
+        single = runs.join(F.broadcast(side), "group_id", "left_anti")
+        got = big.mapInArrow(_first(ids), "group_id long, weight long, median long").toArrow()
+        _, pivot0 = weighted_medians(*(got.column(c).to_numpy() for c in ("group_id", "median", "weight")))
+        count = np.array([several[g] for g in many], np.int64)
+        k = len(percents)
+        group = np.repeat(many, k)
+        want = ((count[:, None] * np.array(percents)[None, :] + 99) // 100).ravel()
+        low, high = np.full(len(group), MIN), np.full(len(group), MAX)
+        below, pivot = np.zeros(len(group), np.int64), np.repeat(pivot0, k)
+        answer, open_ = np.zeros(len(group), np.int64), np.ones(len(group), bool)
+        for _ in range(most_rounds):
+            live = np.flatnonzero(open_)
+            if not len(live):
+                break
+            state = sc.broadcast((group[live], live, low[live], high[live], pivot[live]))
+            got = big.mapInArrow(
+                _round(state), "target long, less long, equal long, more long, left long, right long"
+            ).toArrow()
+            t, less, equal, more, left, right = (got.column(i).to_numpy() for i in range(6))
+            state.destroy()
+            add = lambda w: np.bincount(t, weights=w, minlength=len(group)).astype(np.int64)
+            n_less, n_equal = add(less), add(equal)
+            go_left = open_ & (want <= below + n_less)
+            hit = open_ & ~go_left & (want <= below + n_less + n_equal)
+            go_right = open_ & ~go_left & ~hit
+            answer[hit] = pivot[hit]
+            open_[hit] = False
+            high[go_left] = pivot[go_left]
+            low[go_right] = pivot[go_right]
+            below[go_right] += (n_less + n_equal)[go_right]
+            side_of = np.where(go_left[t], 0, np.where(go_right[t], 1, 2))
+            keys, nxt = weighted_medians(
+                t[side_of < 2],
+                np.where(side_of == 0, left, right)[side_of < 2],
+                np.where(side_of == 0, less, more)[side_of < 2],
+            )
+            pivot[keys] = nxt
+        else:
+            raise RuntimeError("multi-select did not end")
+        ids.destroy()
+        found = [(int(g), int(n), *map(int, a)) for g, n, a in zip(many, count, answer.reshape(-1, k))]
+    ones = single.select(
+        "group_id", F.col("n").cast("long").alias("n"), *[F.element_at("vals", rank(p)).alias(f"p{p}") for p in percents]
+    )
+    return ones.unionByName(spark.createDataFrame(found, schema)) if found else ones
+
+
+__all__ = ["Heavy", "build_runs", "select_percentiles", "weighted_medians"]
