@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.mixture import balance
+from tallyloom.llm.subjects import assign_subjects, fit
 from tallyloom.llm.tokens import encode_corpus, token_counts
 
 
@@ -33,5 +34,20 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return s.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(total)))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder)
+    names = [r[0] for r in spark.read.parquet(f"{folder}/subjects.parquet").where("subject is not null").select("subject").distinct().orderBy("subject").collect()]
+    return assign_subjects(docs, fit(docs, spark.read.parquet(f"{folder}/subject_labels.parquet"), names))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents are about each subject."""
+    return _subjects(spark, folder).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
