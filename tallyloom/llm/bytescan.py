@@ -31,7 +31,7 @@ def class_table() -> np.ndarray:
     return out
 
 
-def text_slices(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most_bytes``: first row, end row, padded bytes, offsets. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
