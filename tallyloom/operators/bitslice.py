@@ -168,7 +168,7 @@ def batch_tables(entity, kind, cents, latest) -> Iterator[tuple[int, SlicedTable
                 types,
                 sizes,
                 entity[a:b] & (BLOCK - 1),
-                {name: [np.packbits(s[a:b]) for s in slices if s[a:b].any()] if name == "count" else trimmed(slices, a, b) for name, slices in numbers.items()},
+                {name: trimmed(slices, a, b) for name, slices in numbers.items()},
                 newest[a:b],
             ),
         )

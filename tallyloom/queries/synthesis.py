@@ -263,17 +263,17 @@ def win_weighted(spark: SparkSession, folder: str) -> DataFrame:
 # row-wise transforms
 @query("""select o_orderkey, o_totalprice + o_custkey p_add, o_totalprice - o_custkey p_sub, o_totalprice * o_custkey p_mul, o_totalprice / nullif(o_custkey - 5, 0) p_div_raw,
   o_totalprice - o_custkey * floor(o_totalprice / nullif(o_custkey, 0)) p_mod, o_totalprice + 2 s_add, o_totalprice - 2 s_sub, o_totalprice * 2 s_mul, o_totalprice / 2 s_div, 5 - o_totalprice r_sub,
-  5 / nullif(o_totalprice, 0) r_div, o_totalprice - 7 * floor(o_totalprice / 7) s_mod, -o_totalprice neg, abs(o_totalprice) absolute, sin(o_totalprice) sine, cos(o_totalprice) cosine, tan(o_totalprice) tangent, sqrt(o_totalprice) root,
+  5 / nullif(o_totalprice, 0) r_div, o_totalprice - 7 * floor(o_totalprice / 7) s_mod, -o_totalprice neg, abs(o_totalprice) absolute, sin(o_totalprice) sine, cos(o_totalprice) cosine, tan(o_totalprice / 1000000) tangent, sqrt(o_totalprice) root,
   ln(o_totalprice) log, o_totalprice > o_custkey gt, o_totalprice >= o_custkey ge, o_totalprice < o_custkey lt, o_totalprice <= o_custkey le, o_totalprice > 100 s_gt, o_totalprice >= 100 s_ge,
   o_totalprice < 100 s_lt, o_totalprice <= 100 s_le, o_totalprice = o_custkey eq, o_totalprice <> o_custkey ne, o_orderstatus = 'F' s_eq, o_orderstatus <> 'F' s_ne, o_orderstatus in ('F', 'P') is_in,
   o_orderstatus is null is_null, big and big b_and, big or big b_or, not big b_not, big and big b_mul, o_totalprice * big::int nb_mul
- from (select *, o_totalprice > 250000 big from orders)""", {"p_add": 3, "p_sub": 3, "p_mul": 1, "p_div_raw": 9, "p_mod": 3, "s_add": 3, "s_sub": 3, "s_mul": 3, "s_div": 4, "r_sub": 3, "r_div": 9, "s_mod": 3, "sine": 5, "cosine": 5, "tangent": 2, "root": 6, "log": 8})
+ from (select *, o_totalprice > 250000 big from orders)""", {"p_add": 3, "p_sub": 3, "p_mul": 2, "p_div_raw": 9, "p_mod": 3, "s_add": 3, "s_sub": 3, "s_mul": 3, "s_div": 4, "r_sub": 3, "r_div": 9, "s_mod": 3, "sine": 5, "cosine": 5, "tangent": 9, "root": 6, "log": 8})
 def scalar_numbers(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
     price, cust, status, big = (IdentityFeature(es, "orders", c) for c in ("o_totalprice", "o_custkey", "o_orderstatus", "big"))
     one = lambda n: TransformFeature([price], n)
     fs = {"p_add": price + cust, "p_sub": price - cust, "p_mul": price * cust, "p_mod": price % cust, "s_add": price + 2, "s_sub": price - 2, "s_mul": price * 2, "s_div": price / 2, "r_sub": 5 - price,
-          "r_div": 5 / price, "s_mod": price % 7, "neg": -price, "absolute": abs(price), "sine": one("sine"), "cosine": one("cosine"), "tangent": one("tangent"), "root": one("square_root"), "log": one("natural_logarithm"),
+          "r_div": 5 / price, "s_mod": price % 7, "neg": -price, "absolute": abs(price), "sine": one("sine"), "cosine": one("cosine"), "tangent": TransformFeature([price / 1000000], "tangent"), "root": one("square_root"), "log": one("natural_logarithm"),
           "gt": price > cust, "ge": price >= cust, "lt": price < cust, "le": price <= cust, "s_gt": price > 100, "s_ge": price >= 100, "s_lt": price < 100, "s_le": price <= 100, "eq": price == cust,
           "ne": price != cust, "s_eq": status == "F", "s_ne": status != "F", "is_in": status.isin(["F", "P"]), "is_null": status.is_null(), "b_and": big & big, "b_or": big | big, "b_not": ~big, "b_mul": big * big, "nb_mul": price * big}
     div = (price / (cust - 5)).rename("p_div")
