@@ -15,6 +15,9 @@ def source_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"^[\s ]+|[\s ]+$", "")), r"[\s -]", "_")
 
 
+BINS = 4096
+
+
 class Mixture:
     """Result of ``balance``: ``sources`` (one row per listed source) and ``rates`` (one row per document)."""
 
@@ -38,8 +41,10 @@ def balance(
     n_tokens, documents) that all partitions share in. A source whose documents stay
     below the target at max_repeats copies each is unreachable and gets that rate.
 
-    Rates become copies by rounding up with the probability of their fraction,
-    decided by a hash of doc_id, so the expected size is met and reruns agree.
+    Rates become copies by rounding up where a hash of doc_id, as a number from 0 to 1,
+    lies below their fraction, moved by a small shift per source that makes the size of
+    the copies meet the target; the shift comes from one table of at most 2 * BINS sums
+    per source. Reruns agree.
     Documents without a listed source get rate 0 but count in the total. Null
     n_tokens count as 0; null weights as 0, null max_repeats as 1; empty sizes give
     targets of 0 and no unreachable source.
@@ -110,12 +115,25 @@ def balance(
                     step = (low[k] + high[k]) / 2
             lam[k] = step
 
-    rated = with_rate(keyed, sorted(name))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     whole = F.floor("rate")
-    rates = rated.select(
+    fraction = F.col("rate") - whole
+    rated = with_rate(keyed, sorted(name)).withColumn("bin", F.when(fraction > 0, F.floor((u - fraction) * BINS).cast("int")))
+    sums = rated.groupBy("k", "bin").agg(F.sum("t").alias("t"), F.sum(whole * F.col("t")).alias("w")).orderBy("k", "bin").collect()
+    shift = {}
+    for k in name:
+        mine = [r for r in sums if r["k"] == k]
+        size, best = sum(r["w"] for r in mine), (None, -BINS - 1)
+        for at, more in [(-BINS - 1, 0), *((r["bin"], r["t"]) for r in mine if r["bin"] is not None)]:
+            size += more
+            miss = abs(size - target[k])
+            if best[0] is None or miss < best[0]:
+                best = (miss, at)
+        shift[k] = best[1]
+    last = spark.createDataFrame([(k, b) for k, b in shift.items()], "k string, last int")  # one row per listed source
+    rates = rated.join(F.broadcast(last), "k").select(
         "doc_id", "k", F.col("t").alias("n_tokens"), "rate",
-        (whole + F.when(u < F.col("rate") - whole, 1).otherwise(0)).cast("long").alias("copies"),
+        (whole + F.when(F.col("bin") <= F.col("last"), 1).otherwise(0)).cast("long").alias("copies"),
     )
     used = rates.groupBy("k").agg(
         F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens")
