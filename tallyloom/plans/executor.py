@@ -222,14 +222,16 @@ class Lowering:
     def order_matters(self, feats: list[Feature]) -> bool:
         return any(getattr(g.primitive, "ordered", False) for f in feats for g in [f, *f.get_dependencies(deep=True)])
 
-    def fill(self, frame: DataFrame, feats: list[Feature]) -> DataFrame:
+    def fill(self, frame: DataFrame, feats: list[Feature], only: Column | None = None) -> DataFrame:
+        """Defaults for nulls, or for the rows where ``only`` holds."""
         cols = {}
         kinds = {c.name: c.dataType for c in frame.schema.fields} if any(f.default_value is not None for f in feats) else {}
         for f in feats:
             n = self.name(f)
             kind = kinds.get(n)
             if f.default_value is not None and not isinstance(kind, T.ArrayType):
-                cols[n] = F.coalesce(F.col(n), F.lit(f.default_value).cast(kind))
+                default = F.lit(f.default_value).cast(kind)
+                cols[n] = F.coalesce(F.col(n), default) if only is None else F.when(only, default).otherwise(F.col(n))
         return frame.withColumns(cols) if cols else frame
 
     def aggregate(self, frame: DataFrame, path: tuple, feats: list[AggregationFeature]) -> DataFrame:
@@ -389,10 +391,10 @@ def calculate_feature_matrix(
     values = frame.select(ID, CTX, *dict.fromkeys(low.name(f) for f in features))
     if frame_of_cutoffs:
         side = values.withColumnRenamed(ID, "__vid").withColumnRenamed(CTX, "__vctx")
-        values = cut.join(side, (F.col(ID) == F.col("__vid")) & (F.col(CTX) == F.col("__vctx")), "left").drop("__vid", "__vctx")
+        values = low.fill(cut.join(side, (F.col(ID) == F.col("__vid")) & (F.col(CTX) == F.col("__vctx")), "left"), features, F.col("__vid").isNull())
     elif cut is not None:
-        values = cut.join(values.drop(CTX).withColumnRenamed(ID, "__vid"), F.col(ID) == F.col("__vid"), "left").drop("__vid").withColumn(CTX, low.at)
-    values = low.fill(values, features)
+        values = cut.join(values.drop(CTX).withColumnRenamed(ID, "__vid"), F.col(ID) == F.col("__vid"), "left").withColumn(CTX, low.at)
+        values = low.fill(values, features, F.col("__vid").isNull())
     cols = [F.col(ID).alias(t.index)]
     if frame_of_cutoffs or cutoff_time_in_index:
         cols.append(F.col(CTX).alias("time"))

@@ -333,10 +333,7 @@ def text_counts(spark: SparkSession, folder: str) -> DataFrame:
     es = _texts(spark, folder)
     spec = {"n_chars": "num_characters", "n_words": "num_words", "punct": "punctuation_count", "uppers": "upper_case_count", "blanks": "whitespace_count",
             "seps": "num_unique_separators", "n_claim": T["count_string"](string="claim")}
-    fs = trans(es, "documents", {k: (v, "text") for k, v in spec.items()})
-    for f in fs:
-        f.primitive.default = None  # nulls stay nulls here
-    return calculate_feature_matrix(fs, es)
+    return calculate_feature_matrix(trans(es, "documents", {k: (v, "text") for k, v in spec.items()}), es)
 
 
 def _texts(spark: SparkSession, folder: str) -> EntitySet:
