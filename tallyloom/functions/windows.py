@@ -126,15 +126,13 @@ def _rolled(agg, on_time: bool = False, least: int = 1, skip_nulls: bool = True)
 
 
 def _slope(y: Column, t: Column, w, x: Ctx) -> Column:
+    """Least-squares slope over the frame, in the unit of its first time; 0 if all times are equal."""
     ok = y.isNotNull() & t.isNotNull()
     s = F.when(ok, d(micros(t)) / 1e6)
     first = F.min(F.when(ok, micros(t))).over(w)
-    n = F.count(F.when(ok, 1)).over(w)
-    # centred on the row's own time: sums of squares keep their digits
-    u = s - d(micros(t)) / 1e6
-    slope = F.regr_slope(F.when(ok, d(y)), s).over(w)
     flat = F.var_pop(s).over(w) == 0
-    return F.when(n > 2, F.when(flat, F.lit(0.0)).otherwise(slope * trend_unit(first))) if u is not None else None
+    slope = F.when(flat, F.lit(0.0)).otherwise(F.regr_slope(F.when(ok, d(y)), s).over(w))
+    return F.when(F.count(F.when(ok, 1)).over(w) > 2, slope * trend_unit(first))
 
 
 def _outliers(y: Column, t: Column, w, x: Ctx) -> Column:

@@ -89,10 +89,17 @@ class Lowering:
             if t.time_index:
                 time = q(t.time_index)
                 return self.visible(table, t.df.join(times, time <= F.col(CTX) if self.include else time < F.col(CTX)))
-            return self.visible(table, t.df.crossJoin(times))
+            return self.visible(table, self.at_every_context(t.df))
         pairs = ids.select(F.col(ID).alias("__pid"), CTX).distinct()
         return self.visible(table, t.df.join(pairs, q(t.index) == F.col("__pid")).drop("__pid"))
 
+    def at_every_context(self, df: DataFrame) -> DataFrame:
+        """An untimed table is the same at every cutoff: its rows once per cutoff time."""
+        if not self.few_contexts():
+            return df.join(self.contexts, F.lit(True))
+        times = [F.lit(r[0]).cast(self.contexts.schema[CTX].dataType) for r in self.contexts.collect()]  # at most 10,000
+        return df.withColumn(CTX, F.explode(F.array(*times))) if times else df.withColumn(CTX, F.lit(None).cast(self.contexts.schema[CTX].dataType)).limit(0)
+
     def few_contexts(self) -> bool:
         """Whether the distinct cutoff times are known to fit a broadcast."""
         if not hasattr(self, "_few"):
