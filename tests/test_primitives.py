@@ -139,7 +139,7 @@ TEXT_CASES = {
     "number_of_unique_words": lambda t: len({w.strip(PUNCT) for w in t.split() if w.strip(PUNCT)}), "number_of_hashtags": lambda t: len(re.findall(r"((^#)|\s#)(\w*([^\W\d])+\w*)(?![#\w])", t)),
     "upper_case_word_count": lambda t: sum(1 for w in re.split("[ \n\t]", t) if w.strip(PUNCT) and w.upper() == w),
     "number_of_common_words": lambda t: sum(w.lower().strip(PUNCT) in set(scalars.COMMON) for w in re.split("[ \n\t]", t)),
-    "median_word_length": lambda t: float(np.median([len(w) for w in re.split("[ \n\t]", t) if w])) if any(re.split("[ \n\t]", t)) else 0,
+    "median_word_length": lambda t: float(np.median([len(w) for w in re.split("[ \n\t]", t) if w])) if any(re.split("[ \n\t]", t)) else None,
 }
 
 
