@@ -324,21 +324,33 @@ PUNCT = r"""[!-/:-@\[-`{-~]"""
 _TOK = r"""list_filter(string_split_regex(text, '[ \n\t]'), lambda w: trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') <> '')"""
 
 
-@query(rf"""select doc_id, length(text)::bigint n_chars, len({_TOK})::bigint n_words, len(regexp_extract_all(text, '{PUNCT}'))::bigint punct, len(regexp_extract_all(text, '[A-Z]'))::bigint uppers,
+_COUNTS = rf"""select doc_id, length(text)::bigint n_chars, len({_TOK})::bigint n_words, len(regexp_extract_all(text, '{PUNCT}'))::bigint punct, len(regexp_extract_all(text, '[A-Z]'))::bigint uppers,
   len(regexp_extract_all(text, ' '))::bigint blanks,
   (contains(text, ' ')::int + contains(text, '.')::int + contains(text, ',')::int + contains(text, '!')::int + contains(text, '?')::int + contains(text, ';')::int + contains(text, chr(10))::int)::bigint seps,
-  len(regexp_extract_all(lower(text), 'claim'))::bigint n_claim from (select * from documents where text is null or lang in ('en', 'EN'))""")
+  len(regexp_extract_all(lower(text), 'claim'))::bigint n_claim from """
+
+
+@query(f"{_COUNTS}(select * from documents where text is null or lang in ('en', 'EN'))")
 def text_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts that two regular-expression dialects agree on."""
-    es = _texts(spark, folder)
+    """The counts that two regular-expression dialects agree on, of the texts that the SQL takes; ``text_counts_all`` has all."""
+    return _counts(_texts(spark, folder, "text is null or lang in ('en', 'EN')"))
+
+
+@query(f"{_COUNTS}documents")
+def text_counts_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts of every document."""
+    return _counts(_texts(spark, folder))
+
+
+def _counts(es: EntitySet) -> DataFrame:
     spec = {"n_chars": "num_characters", "n_words": "num_words", "punct": "punctuation_count", "uppers": "upper_case_count", "blanks": "whitespace_count",
             "seps": "num_unique_separators", "n_claim": T["count_string"](string="claim")}
     return calculate_feature_matrix(trans(es, "documents", {k: (v, "text") for k, v in spec.items()}), es)
 
 
-def _texts(spark: SparkSession, folder: str) -> EntitySet:
+def _texts(spark: SparkSession, folder: str, where: str = "true") -> EntitySet:
     es = EntitySet("texts")
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").where("text is null or lang in ('en', 'EN')")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").where(where)
     return es.add_dataframe(docs, "documents", "doc_id", logical_types={"text": "NaturalLanguage"})
 
 
