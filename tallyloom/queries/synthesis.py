@@ -427,16 +427,45 @@ def rel_stacked_where_multi_hop(spark: SparkSession, folder: str) -> DataFrame:
 CUTS = "cut as (select distinct o_custkey id, o_orderdate t, o_orderpriority label from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) r from orders) where r % 5 = 2)"
 
 
+#: Every order of every customer is a cutoff.
+CUTS_ALL = "cut as (select distinct o_custkey id, o_orderdate t, o_orderpriority label from orders)"
+
+
 def cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = spark.read.parquet(f"{folder}/orders.parquet").withColumn("r", r).where("r % 5 = 2")
-    return o.select(F.col("o_custkey").alias("instance_id"), F.col("o_orderdate").alias("time"), F.col("o_orderpriority").alias("label")).distinct()
+    return _cutoffs_of(spark.read.parquet(f"{folder}/orders.parquet").withColumn("r", r).where("r % 5 = 2"))
+
+
+def cutoffs_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _cutoffs_of(spark.read.parquet(f"{folder}/orders.parquet"))
+
+
+def _cutoffs_of(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_custkey").alias("instance_id"), F.col("o_orderdate").alias("time"), F.col("o_orderpriority").alias("label")).distinct()
+
+
+def cutoff_query(sql, rounds: dict[str, int] | None = None):
+    """Register a query twice: at the cutoffs of CUTS, and as ``..._all`` at those of CUTS_ALL. ``sql`` makes the SQL for either."""
+
+    def put(fn):
+        def at(name: str, made):
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                return fn(spark, folder, made(spark, folder))
+
+            run.__name__ = name
+            return run
+
+        query(sql(CUTS), rounds)(at(fn.__name__, cutoffs))
+        query(sql(CUTS_ALL), rounds)(at(f"{fn.__name__}_all", cutoffs_all))
+        return fn
+
+    return put
 
 
-def _asof(cond: str) -> str:
-    return f"""with {CUTS}, j as (select id, t, label, o.* from cut left join orders o on o_custkey = id and {cond})
+def _asof(cond: str):
+    return lambda cuts: f"""with {cuts}, j as (select id, t, label, o.* from cut left join orders o on o_custkey = id and {cond})
  select id c_custkey, t "time", label, count(o_orderkey) n, round(coalesce(sum(o_totalprice), 0), 2) total, max(o_totalprice) hi, round(median(o_totalprice), 3) med from j group by 1, 2, 3"""
 
 
@@ -445,44 +474,44 @@ def _cutoff_features(es):
     return feats(es, "orders", "customer", spec)
 
 
-@query(_asof("o_orderdate <= t"), {"total": 2, "med": 3})
-def cutoff_table(spark: SparkSession, folder: str) -> DataFrame:
+@cutoff_query(_asof("o_orderdate <= t"), {"total": 2, "med": 3})
+def cutoff_table(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
     es = star(spark, folder)
-    return calculate_feature_matrix(_cutoff_features(es), es, cutoffs(spark, folder))
+    return calculate_feature_matrix(_cutoff_features(es), es, cuts)
 
 
-@query(_asof("o_orderdate < t and o_orderdate >= t - interval 300 day"), {"total": 2, "med": 3})
-def cutoff_window_excluded(spark: SparkSession, folder: str) -> DataFrame:
+@cutoff_query(_asof("o_orderdate < t and o_orderdate >= t - interval 300 day"), {"total": 2, "med": 3})
+def cutoff_window_excluded(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
     es = star(spark, folder)
-    return calculate_feature_matrix(_cutoff_features(es), es, cutoffs(spark, folder), training_window="300 days", include_cutoff_time=False)
+    return calculate_feature_matrix(_cutoff_features(es), es, cuts, training_window="300 days", include_cutoff_time=False)
 
 
-@query(_asof("o_orderdate <= t and o_orderdate > t - interval 300 day"), {"total": 2, "med": 3})
-def cutoff_window_included(spark: SparkSession, folder: str) -> DataFrame:
+@cutoff_query(_asof("o_orderdate <= t and o_orderdate > t - interval 300 day"), {"total": 2, "med": 3})
+def cutoff_window_included(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
     es = star(spark, folder)
-    return calculate_feature_matrix(_cutoff_features(es), es, cutoffs(spark, folder), training_window="300 days")
+    return calculate_feature_matrix(_cutoff_features(es), es, cuts, training_window="300 days")
 
 
-@query(f"""with {CUTS}, j as (select id, t, o.*, row_number() over (partition by id, t, label order by o_orderdate desc, o_orderkey desc) r, label from cut left join orders o on o_custkey = id and o_orderdate <= t)
+@cutoff_query(lambda cuts: f"""with {cuts}, j as (select id, t, o.*, row_number() over (partition by id, t, label order by o_orderdate desc, o_orderkey desc) r, label from cut left join orders o on o_custkey = id and o_orderdate <= t)
  select id c_custkey, t "time", label, coalesce(sum(case when r <= 3 then o_totalprice end), 0) last3, count(case when o_orderdate >= t - interval 1 year then o_orderkey end) last_year,
   count(case when o_orderdate >= t - interval 60 day and o_orderstatus = 'F' then o_orderkey end) recent_f from j group by 1, 2, 3""", {"last3": 2})
-def cutoff_use_previous(spark: SparkSession, folder: str) -> DataFrame:
+def cutoff_use_previous(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
     es = star(spark, folder)
     key, price = IdentityFeature(es, "orders", "o_orderkey"), IdentityFeature(es, "orders", "o_totalprice")
     fs = [Agg([price], "customer", "sum", use_previous="3 observations").rename("last3"), Agg([key], "customer", "count", use_previous="1 year").rename("last_year"),
           Agg([key], "customer", "count", where=IdentityFeature(es, "orders", "o_orderstatus") == "F", use_previous="60 days").rename("recent_f")]
-    return calculate_feature_matrix(fs, es, cutoffs(spark, folder))
+    return calculate_feature_matrix(fs, es, cuts)
 
 
-@query(f"""with {CUTS}, b as (select distinct id, t, label, time_bucket(interval 90 day, t, timestamp '1970-01-01') bt, c_nationkey nk from cut join customer on c_custkey = id),
+@cutoff_query(lambda cuts: f"""with {cuts}, b as (select distinct id, t, label, time_bucket(interval 90 day, t, timestamp '1970-01-01') bt, c_nationkey nk from cut join customer on c_custkey = id),
  n as (select nk, bt, count(o_orderkey) no from (select distinct nk, bt from b) x left join customer c on c.c_nationkey = nk left join orders on o_custkey = c.c_custkey and o_orderdate <= bt group by 1, 2)
  select id c_custkey, t "time", label, n_exact, coalesce(no, 0) n_nation from b left join n using (nk, bt)
  left join (select id, t, count(o_orderkey) n_exact from (select distinct id, t from cut) left join orders on o_custkey = id and o_orderdate <= t group by 1, 2) using (id, t)""")
-def cutoff_approximate(spark: SparkSession, folder: str) -> DataFrame:
+def cutoff_approximate(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
     es = star(spark, folder)
     key = IdentityFeature(es, "orders", "o_orderkey")
     fs = [Agg([key], "customer", "count").rename("n_exact"), DirectFeature(Agg([key], "nation", "count"), "customer").rename("n_nation")]
-    return calculate_feature_matrix(fs, es, cutoffs(spark, folder), approximate="90 days")
+    return calculate_feature_matrix(fs, es, cuts, approximate="90 days")
 
 
 @query(f"""with {ITEMS} select o_orderkey, greatest(o_orderdate, m) last_time from orders left join (select l_orderkey, max(l_shipdate) m from li group by 1) on l_orderkey = o_orderkey""")
