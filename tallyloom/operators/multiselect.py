@@ -133,8 +133,8 @@ def weighted_medians(key: np.ndarray, value: np.ndarray, weight: np.ndarray) ->
 def select_percentiles(runs: DataFrame, percents: tuple[int, ...], most_rounds: int = 200) -> DataFrame:
     """Value at rank ceil(p * n / 100) for each group and p: group_id, n, p50, ...
 
-    Groups of one run have one partition to ask: its value at the rank is the pivot
-    and the run itself counts it. Groups of several runs go through rounds. In each,
+    Groups of one run take no part in the selection: the run is the sorted group, and
+    the value at the rank is read from it. Groups of several runs go through rounds. In each,
     every run counts its values below, at and above the group's pivot and proposes
     the medians of what is left on either side; the counts decide which side the
     rank lies on, the other is discarded, and the weighted median of the proposals
