@@ -19,10 +19,10 @@ BINS = 4096
 
 
 class Mixture:
-    """Result of ``balance``: ``sources`` (one row per listed source) and ``rates`` (one row per document)."""
+    """Result of ``balance``: ``sources`` (one row per listed source), ``rates`` (one row per document of these) and ``rest`` (the other documents, at rate 0)."""
 
-    def __init__(self, sources: DataFrame, rates: DataFrame):
-        self.sources, self.rates = sources, rates
+    def __init__(self, sources: DataFrame, rates: DataFrame, rest: DataFrame):
+        self.sources, self.rates, self.rest = sources, rates, rest
 
 
 def balance(
@@ -149,4 +149,8 @@ def balance(
     sources = facts.join(used, "k", "left").select(
         *facts.columns[1:], F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens")
     )
-    return Mixture(sources, rates.select("doc_id", F.col("k").alias("source"), "n_tokens", "rate", "copies"))
+    listed = spark.createDataFrame([(k,) for k in sorted(name)], "k string")  # one row per listed source
+    rest = keyed.join(F.broadcast(listed), "k", "left_anti").select(
+        "doc_id", F.col("k").alias("source"), F.col("t").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies")
+    )
+    return Mixture(sources, rates.select("doc_id", F.col("k").alias("source"), "n_tokens", "rate", "copies"), rest)

@@ -27,6 +27,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).sources.where("not reachable").select("source")
 
 
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate and copies of every document."""
+    m = _mixture(spark, folder)
+    return m.rates.unionByName(m.rest)
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source in the mixture."""
     s = _mixture(spark, folder).sources
@@ -49,5 +55,5 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
