@@ -28,19 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def materialize(df: DataFrame, label: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, split into folders ``by`` columns, and read it back.
 
     Cuts lineage like ``checkpoint()`` but stays columnar and compressed. The
-    files are deleted when the driver's JVM ends.
+    files are deleted by ``discard``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom-{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallyloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize`` that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(df._tallyloom_path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
