@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,16 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bytescan import LETTER, PAD, Chars, mix, span_hash, text_slices, words64
-from tallyloom.session import materialize
+from tallyloom.llm.bytescan import LETTER, Chars, mix, span_hash, text_slices, words64
+from tallyloom.session import discard, materialize
 
 BUCKETS = 1 << 18
 GRAM = 5
-#: Marks of sentences that cite an earlier publication (a number without
-#: the kind code that a document's own number carries) or set the matter apart.
-NUMBER = re.compile(rb"\b[A-Z]{2}[ -]?\d{4}[ /-]?\d{6}(?![\d]|[ -]?[A-Z]\d?\b)")
-APART = [b"Unlike", b"Contrairement", b"Anders als", "不同，".encode()]
-STOPS = [b". ", b".\n", b".\r", b"\n\n", b"\r\n\r\n", b"] ", "。".encode()]
 
 
 @dataclass(frozen=True)
@@ -30,67 +24,28 @@ class Settings:
     most_labelled is the bound on labelled documents that are learnt from (chosen by
     a hash of doc_id); everything else covers all documents. held_out is the part of
     them, in percent, that sets the threshold instead. Each step takes one of about
-    most_batches shares of the others, of batch_docs documents or more.
+    most_batches shares of the others, of batch_docs documents or more. Labelled
+    documents are spread over a partition for every part_docs of them; gradients are
+    summed by as many ranges of the embedding table as blocks.
     """
 
     most_labelled: int = 20_000
-    dim: int = 16
+    dim: int = 12
     least_docs: int = 4
-    steps: int = 64
-    rate: float = 0.08
+    steps: int = 48
+    rate: float = 0.12
     batch_docs: int = 1_000
     most_batches: int = 8
-    parts: int = 6
+    part_docs: int = 1_000
+    blocks: int = 3
     held_out: int = 15
     seed: int = 7
 
 
-def cited_numbers(raw: bytes) -> list[tuple[int, int]]:
-    """Places of cited publication numbers: runs of six or ten digits are found first, the pattern is tried at those."""
-    bytes_ = np.frombuffer(raw, np.uint8)
-    digit = np.zeros(len(bytes_) + 2, bool)
-    digit[1:-1] = (bytes_ >= 0x30) & (bytes_ <= 0x39)
-    edge = np.flatnonzero(digit[1:] != digit[:-1])
-    start, end = edge[::2], edge[1::2]
-    fits = (end - start == 6) | (end - start == 10)
-    out = []
-    for a, b in zip(start[fits].tolist(), end[fits].tolist()):
-        if m := NUMBER.search(raw, max(0, a - 9), b + 4):
-            out.append(m.span())
-    return out
-
-
-def words_apart(raw: bytes) -> list[tuple[int, int]]:
-    """Places of the words that set the matter apart, whole words only."""
-    out = []
-    for w in APART:
-        at = raw.find(w)
-        while at >= 0:
-            end = at + len(w)
-            if not w.isascii() or not (raw[at - 1 : at].isalnum() or raw[end : end + 1].isalnum()):
-                out.append((at, end))
-            at = raw.find(w, end)
-    return out
-
-
-def aside_spans(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans of the sentences that mention other matter only."""
-    begin, end = [], []
-    for start, stop in [*cited_numbers(raw), *words_apart(raw)]:
-        doc = int(np.searchsorted(offsets, start, "right")) - 1
-        lo, hi = int(offsets[doc]), int(offsets[doc + 1])
-        a = max([lo, *(p + len(s) for s in STOPS if (p := raw.rfind(s, lo, start)) >= 0)])
-        b = min([hi, *(p + len(s) for s in (b".", "。".encode()) if (p := raw.find(s, stop, hi)) >= 0)])
-        begin.append(a)
-        end.append(b)
-    return np.array(begin, np.int64), np.array(end, np.int64)
-
-
 class Words:
     """Words of a run of texts: hash, length, text they stand in; Han runs give overlapping pairs of characters."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.asides = aside_spans(data[:-PAD].tobytes(), offsets)
         upper = (data >= 0x41) & (data <= 0x5A)
         data = np.where(upper, data + 32, data).astype(np.uint8)
         ch = Chars(data, offsets)
@@ -110,12 +65,6 @@ class Words:
         self.start = np.r_[start, s2][order]
         self.length = np.r_[end, e2][order] - self.start
         self.is_plain = np.r_[np.ones(len(start), bool), np.zeros(len(s2), bool)][order]
-        if len(self.asides[0]):
-            inside = np.zeros(len(data) + 1, np.int32)
-            np.add.at(inside, self.asides[0], 1)
-            np.add.at(inside, self.asides[1], -1)
-            keep = np.cumsum(inside)[self.start] == 0
-            self.start, self.length, self.is_plain = self.start[keep], self.length[keep], self.is_plain[keep]
         self.data = data
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.hash = span_hash(data, self.start, self.length)
@@ -170,7 +119,7 @@ def doc_features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
 
 @dataclass
 class Rows:
-    """Sparse rows of a partition's labelled texts over the active buckets, and the transpose."""
+    """Sparse rows of labelled texts over the active buckets, and their labels, a 0/1 row each."""
 
     cut: np.ndarray
     col: np.ndarray
@@ -183,99 +132,154 @@ class Rows:
         return z
 
     def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray):
-        """Sums over the rows: loss and gradients of embeddings, weights, biases."""
+        """Sums over the rows: columns that occur, gradients of their embeddings, of weights and of biases."""
         z = self.vectors(e)
-        logit = z @ w + b
-        p = 1 / (1 + np.exp(-logit))
-        loss = float(np.sum(np.logaddexp(0, logit) - self.labels * logit))
+        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -50, 50)))
         d = (p - self.labels).astype(np.float32)
         dz = d @ w.T
         row = np.repeat(np.arange(len(self.labels)), np.diff(self.cut))
         order = np.argsort(self.col, kind="stable")
         cols, first = np.unique(self.col[order], return_index=True)
-        de = np.zeros_like(e)
-        if len(cols):
-            de[cols] = np.add.reduceat((dz[row] * self.val[:, None])[order], first)
-        return loss, de, z.T @ d, d.sum(0)
+        de = np.add.reduceat((dz[row] * self.val[:, None])[order], first) if len(cols) else np.zeros((0, e.shape[1]), np.float32)
+        return cols, de.astype(np.float32), (z.T @ d).astype(np.float32), d.sum(0)
+
+
+TRAIN = "n int, labels binary, sizes binary, keys binary, vals binary, share int"
+
+
+def _features(n_subjects: int, held: int, shares: int):
+    """Features of labelled texts, packed: a row holds those of one share, -1 being held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                got = doc_features(data, offsets)
+                fold = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
+                marks = np.zeros((b - a, n_subjects), np.uint8)
+                for i, own in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    marks[i, own] = 1
+                share = np.where(fold < held, -1, fold % shares)
+                out = []
+                for k in np.unique(share):
+                    docs = np.flatnonzero(share == k)
+                    keys, vals = (np.concatenate([got[i][j] for i in docs]) for j in (0, 1))
+                    sizes = np.array([len(got[i][0]) for i in docs], np.int32)
+                    out.append((len(docs), *(x.tobytes() for x in (marks[docs], sizes, keys, vals)), int(k)))
+                kinds = [pa.int32(), *[pa.binary()] * 4, pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["n", "labels", "sizes", "keys", "vals", "share"]
+                )
+
+    return run
 
 
-def rows_of(batches, active: np.ndarray, n_subjects: int, picked) -> Rows | None:
-    """Reads the training rows whose fold is picked; buckets outside the active ones have no embedding."""
-    cuts, cols, vals, labels = [np.zeros(1, np.int64)], [], [], []
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts that each bucket occurs in, summed within the partition."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        batch = batch.filter(pa.array(picked(batch.column(3).to_numpy(zero_copy_only=False))))
-        if not batch.num_rows:
-            continue
-        bits = batch.column(0).to_numpy(zero_copy_only=False)
-        labels.append(((bits[:, None] >> np.arange(n_subjects)) & 1).astype(np.float32))
-        off = batch.column(1).offsets.to_numpy()
-        at = active[batch.column(1).values.to_numpy()[off[0] : off[-1]]]
-        keep = at >= 0
-        n = np.r_[0, np.cumsum(keep)]
-        cuts.append(n[off[1:] - off[0]] + cuts[-1][-1])
-        cols.append(at[keep])
-        off = batch.column(2).offsets.to_numpy()
-        vals.append(batch.column(2).values.to_numpy()[off[0] : off[-1]][keep])
+        for keys in batch.column(0).to_pylist():
+            total += np.bincount(np.frombuffer(keys, np.int32), minlength=BUCKETS)
+    k = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
+
+
+def rows_of(batches, active: np.ndarray) -> Rows | None:
+    """Reads packed rows; buckets outside the active ones have no embedding."""
+    sizes, cols, vals, labels = [np.zeros(1, np.int64)], [], [], []
+    for batch in batches:
+        for n, mark, size, keys, val in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            at = active[np.frombuffer(keys, np.int32)]
+            keep = at >= 0
+            doc = np.repeat(np.arange(n), np.frombuffer(size, np.int32))
+            sizes.append(np.bincount(doc[keep], minlength=n))
+            cols.append(at[keep])
+            vals.append(np.frombuffer(val, np.float32)[keep])
+            labels.append(np.frombuffer(mark, np.uint8).reshape(n, -1))
     if not labels:
         return None
-    return Rows(np.concatenate(cuts), np.concatenate(cols), np.concatenate(vals), np.concatenate(labels))
+    return Rows(np.cumsum(np.concatenate(sizes)), np.concatenate(cols), np.concatenate(vals), np.concatenate(labels).astype(np.float32))
+
+
+REST = -1  #: the block of the gradients of weights and biases
 
 
-def _step(shared, n_subjects: int, picked):
+def _gradients(index, shared, block_rows: int):
+    """The partition's gradient, by blocks of block_rows embeddings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active, e, w, b = shared.value
-        rows = rows_of(batches, active, n_subjects, picked)
+        rows = rows_of(batches, index.value)
         if rows is None:
             return
-        loss, *grads = rows.gradient(e, w, b)
-        blobs = [g.astype(np.float32).tobytes() for g in grads]
+        cols, de, dw, db = rows.gradient(*shared.value)
+        block = cols // block_rows
+        names, first = np.unique(block, return_index=True)
+        end = np.r_[first[1:], len(cols)]
+        rest = np.r_[dw.ravel(), db, len(rows.labels)].astype(np.float32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([loss]), pa.array([len(rows.labels)]), *[pa.array([x], pa.binary()) for x in blobs]],
-            ["loss", "n", "e", "w", "b"],
+            [
+                pa.array([REST, *names.tolist()], pa.int32()),
+                pa.array([b"", *((cols[a:b] % block_rows).astype(np.int32).tobytes() for a, b in zip(first, end))], pa.binary()),
+                pa.array([rest.tobytes(), *(de[a:b].tobytes() for a, b in zip(first, end))], pa.binary()),
+            ],
+            ["block", "at", "grad"],
         )
 
     return run
 
 
-def _logits(shared, n_subjects: int, picked):
+def _summed(block_rows: int, dim: int):
+    """Sums of each block over all partitions; embeddings' gradients leave as whole numbers up to 127 and a scale for each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active, e, w, b = shared.value
-        rows = rows_of(batches, active, n_subjects, picked)
+        total: dict[int, np.ndarray] = {}
+        rest = None
+        for batch in batches:
+            for block, at, grad in zip(*(c.to_pylist() for c in batch.columns)):
+                grad = np.frombuffer(grad, np.float32)
+                if block == REST:
+                    rest = grad.copy() if rest is None else rest + grad
+                    continue
+                own = total.setdefault(block, np.zeros((block_rows, dim), np.float32))
+                own[np.frombuffer(at, np.int32)] += grad.reshape(-1, dim)
+        out = [] if rest is None else [(REST, b"", b"", rest.tobytes())]
+        for block, own in total.items():
+            most = np.abs(own).max(1)
+            live = most > 0
+            steps = np.rint(own[live] * (127 / most[live])[:, None]).astype(np.int8)
+            out.append((block, np.packbits(live).tobytes(), steps.tobytes(), most[live].tobytes()))
+        if out:
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["block", "live", "steps", "scale"])
+
+    return run
+
+
+def _logits(index, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches, index.value)
         if rows is not None:
+            e, w, b = shared.value
             logit = (rows.vectors(e) @ w + b).ravel().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(logit), pa.array(rows.labels.ravel() > 0)], ["logit", "label"])
 
     return run
 
 
-def best_cut(logit: np.ndarray, label: np.ndarray, least: int = 50) -> float:
-    """The logit above which the F1 measure over all pairs of document and subject is greatest; 0 for few labels."""
-    if label.sum() < least:
+def best_cut(logit: np.ndarray, label: np.ndarray, near: float = 0.995) -> float:
+    """A logit above which the F1 measure over all pairs of document and subject is greatest.
+
+    It is the middle of the range in which F1 comes to ``near`` of the greatest, which
+    steadies it where few labels are held out. Without any label it is 0.
+    """
+    if not label.any():
         return 0.0
-    order = np.argsort(-logit)
+    order = np.argsort(-logit, kind="stable")
     hits = np.cumsum(label[order])
     f1 = 2 * hits / (np.arange(1, len(logit) + 1) + label.sum())
-    best = int(np.argmax(f1))
-    below = logit[order[best + 1]] if best + 1 < len(logit) else logit[order[best]] - 1
-    return float((logit[order[best]] + below) / 2)
-
-
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in text_slices(batch.column(1)):
-            got = doc_features(data, offsets)
-            cut = pa.array(np.r_[0, np.cumsum([len(k) for k, _ in got])].astype(np.int32))
-            keys = np.concatenate([k for k, _ in got]) if got else np.zeros(0, np.int32)
-            vals = np.concatenate([v for _, v in got]) if got else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a),
-                    pa.ListArray.from_arrays(cut, pa.array(keys)),
-                    pa.ListArray.from_arrays(cut, pa.array(vals)),
-                    batch.column(2).slice(a, b - a),
-                ],
-                ["labels", "keys", "vals", "fold"],
-            )
+    good = np.flatnonzero(f1 >= near * f1.max())
+    last = int(good[-1])
+    below = logit[order[last + 1]] if last + 1 < len(logit) else logit[order[last]] - 1
+    return float((logit[order[good[0]]] + below) / 2)
 
 
 class Adam:
@@ -307,53 +311,77 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], settings: Setti
     are left out; repeated labels count once). A label's document that does not
     exist, or whose text is null, teaches nothing. Without any label the model
     gives no document a subject.
+
+    In a step each partition sums the gradient of its documents, the executors sum
+    those of all partitions by ranges of buckets, and the driver gets the sum alone,
+    a byte for each number, whatever the number of documents.
     """
-    spark = docs.sparkSession
+    spark, s = docs.sparkSession, settings
+    sc = spark.sparkContext
     key = lambda c: F.lower(F.trim(c))
-    bits = spark.createDataFrame([(s.strip().lower(), 1 << i) for i, s in enumerate(subjects)], "s string, bit long")
-    marked = (
+    numbered = spark.createDataFrame([(x.strip().lower(), i) for i, x in enumerate(subjects)], "s string, i int")
+    marked = materialize(
         labels.where("doc_id is not null and subject is not null")
         .select("doc_id", key(F.col("subject")).alias("s"))
-        .join(F.broadcast(bits), "s")  # one row per subject
+        .join(F.broadcast(numbered), "s")  # one row per subject
         .groupBy("doc_id")
-        .agg(F.bit_or("bit").alias("labels"))
+        .agg(F.collect_set("i").alias("own"))
         .orderBy(F.xxhash64("doc_id"))
-        .limit(settings.most_labelled)
+        .limit(s.most_labelled),
+        "p8labels",
     )
+    n, held = marked.count(), s.held_out * 10
+    shares = max(1, min(s.most_batches, n * (100 - s.held_out) // 100 // s.batch_docs))
     labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most most_labelled rows
     train = materialize(
-        labelled.select("labels", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)).cast("int").alias("fold"))
-        .repartition(settings.parts)
-        .mapInArrow(_features, "labels long, keys array<int>, vals array<float>, fold int"),
+        labelled.select("own", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)).cast("int").alias("fold"))
+        .repartition(max(1, -(-n // s.part_docs)))
+        .mapInArrow(_features(len(subjects), held, shares), TRAIN),
         "p8train",
+        ("share",),
     )
-    held = settings.held_out * 10
-    shares = max(1, min(settings.most_batches, train.where(F.col("fold") >= held).count() // settings.batch_docs))
+    taught = train.where("share >= 0")
     seen = (
-        train.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= settings.least_docs).orderBy("k").select("k").toArrow()["k"].to_numpy()
-    )
+        taught.select("keys").mapInArrow(_occurrences, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= s.least_docs).orderBy("k").select("k").toArrow()["k"].to_numpy()
+    )  # at most BUCKETS
     active = np.full(BUCKETS, -1, np.int32)
     active[seen] = np.arange(len(seen), dtype=np.int32)
-    rng = np.random.default_rng(settings.seed)
-    e = rng.normal(0, 0.1, (len(seen), settings.dim)).astype(np.float32)
-    w = rng.normal(0, 0.1, (settings.dim, len(subjects))).astype(np.float32)
+    rng = np.random.default_rng(s.seed)
+    e = np.zeros((len(seen), s.dim), np.float32)  # rare buckets start without an opinion; w breaks the symmetry
+    w = rng.normal(0, 1, (s.dim, len(subjects))).astype(np.float32)
     b = np.full(len(subjects), -2.0, np.float32)
     params = [e, w, b]
-    adam = Adam(params, settings.rate)
-    for t in range(settings.steps if len(seen) else 0):
-        picked = lambda fold, t=t: (fold >= held) & (fold % shares == t % shares)
-        shared = spark.sparkContext.broadcast((active, *params))
-        got = train.mapInArrow(_step(shared, len(subjects), picked), "loss double, n long, e binary, w binary, b binary").toArrow()
+    adam = Adam(params, s.rate)
+    index = sc.broadcast(active)
+    block_rows = max(1, -(-len(seen) // s.blocks))
+    for t in range(s.steps if len(seen) else 0):
+        shared = sc.broadcast(tuple(params))
+        got = (
+            taught.where(F.col("share") == t % shares)
+            .mapInArrow(_gradients(index, shared, block_rows), "block int, at binary, grad binary")
+            .repartition(s.blocks, "block")
+            .mapInArrow(_summed(block_rows, s.dim), "block int, live binary, steps binary, scale binary")
+            .toArrow()
+            .to_pylist()
+        )
         shared.destroy()
-        n = sum(got["n"].to_pylist())
-        if not n:
+        rest = [np.frombuffer(r["scale"], np.float32) for r in got if r["block"] == REST]
+        if not rest:
             continue
-        sums = [sum(np.frombuffer(x, np.float32) for x in got[c].to_pylist()).reshape(p.shape) / n for c, p in zip("ewb", params)]
-        adam.step(sums)
-    shared = spark.sparkContext.broadcast((active, *params))
-    got = train.mapInArrow(_logits(shared, len(subjects), lambda fold: fold < held), "logit double, label boolean").toArrow()
+        count, dw, db = rest[0][-1], rest[0][: w.size].reshape(w.shape), rest[0][w.size : -1]
+        de = np.zeros_like(e)
+        for r in got:
+            if r["block"] != REST:
+                live = np.flatnonzero(np.unpackbits(np.frombuffer(r["live"], np.uint8), count=block_rows))
+                scale = np.frombuffer(r["scale"], np.float32) / 127
+                de[live + r["block"] * block_rows] = np.frombuffer(r["steps"], np.int8).reshape(-1, s.dim) * scale[:, None]
+        adam.step([de / count, dw / count, db / count])
+    shared = sc.broadcast(tuple(params))
+    got = train.where("share < 0").mapInArrow(_logits(index, shared), "logit double, label boolean").toArrow()
     shared.destroy()  # of at most held_out percent of most_labelled documents
+    index.destroy()
+    discard(train, marked)
     cut = best_cut(got["logit"].to_numpy(), got["label"].to_numpy())
     table = np.zeros((BUCKETS, len(subjects)), np.float32)
     table[seen] = e @ w
@@ -401,9 +429,10 @@ def _score(shared):
 def assign_subjects(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, subject, probability of every document and each subject it is about.
 
-    All documents are scored where they are read, whole. Null, empty and wordless
-    texts have no subject, and sentences that cite other publications or set the
-    matter apart add nothing. Repeated documents give repeated rows.
+    All documents are scored where they are read, whole, with every sentence. Null,
+    empty and wordless texts have no subject. A subject that is only brought up takes
+    up few of a text's words, so its mean stays below the threshold, which the labels
+    set. Repeated documents give repeated rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
