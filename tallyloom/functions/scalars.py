@@ -12,6 +12,7 @@ from tallyloom.functions.aggregates import d
 from tallyloom.functions.base import (
     ANY, BOOL, LATLONG, NUM, ORDINAL, R_BOOL, R_CAT, R_DOUBLE, R_INT, R_NUM, R_ORD, TEXT, TIME, Ctx, in_unit, micros, safe_div, seconds_between, transform,
 )
+from tallyloom.functions.wordlists import VOCABULARIES, common_words, names
 from tallyloom.types import column_schema, template
 
 INF = float("inf")
@@ -218,7 +219,7 @@ transform("DateToHoliday", [TIME], R_CAT, _holiday, params={"country": "US"})
 transform("IsFederalHoliday", [TIME], R_BOOL, _is_holiday, params={"country": "US"})
 transform("DistanceToHoliday", [TIME], R_NUM, _holiday_distance, params={"holiday": "New Year's Day", "country": "US"}, default=0)
 
-# text; regular expressions follow Unicode as (?U) makes them
+# text
 PUNCTUATION = strings.punctuation
 _punct = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 _counted = {"default": 0}
@@ -245,7 +246,8 @@ def _count_string(p, v, x):
     pattern = lowered(p.string) if p.is_regex else "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in lowered(clean(p.string)))
     if p.match_whole_words_only:
         pattern = f"\\b{pattern}\\b"
-    return F.regexp_count(text, F.lit("(?U)" + pattern)).cast("long")
+    flags = "(?U)" if p.is_regex or p.match_whole_words_only else ""
+    return F.regexp_count(text, F.lit(flags + pattern)).cast("long")
 
 
 transform("CountString", [TEXT], R_INT, _count_string,
@@ -253,7 +255,7 @@ transform("CountString", [TEXT], R_INT, _count_string,
 
 
 def _mean_length(p, v, x):
-    ws = F.filter(F.split(F.regexp_replace(v[0], r"[!,.:;?]+$|[!,.:;?]+ |[!,.:;?]+\n", " "), r"(?U)\s+"), lambda w: w != "")
+    ws = F.filter(F.split(F.regexp_replace(v[0], r"[!,.:;?]+(?:\z|[ \n])", " "), BLANK + "+"), lambda w: w != "")
     total = F.aggregate(ws, F.lit(0), lambda a, w: a + F.char_length(w))
     return F.when(v[0].isNotNull(), F.coalesce(F.try_divide(d(total), F.size(ws)), F.lit(0.0)))
 
@@ -275,23 +277,30 @@ SEPARATORS = [" ", ".", ",", "!", "?", ";", "\n"]
 transform("NumUniqueSeparators", [TEXT], R_INT,
           lambda p, v, x: F.when(v[0].isNotNull(), sum((F.contains(v[0], F.lit(s)).cast("long") for s in p.separators), F.lit(0).cast("long"))), params={"separators": SEPARATORS})
 transform("NumWords", [TEXT], R_INT, lambda p, v, x: F.when(v[0].isNotNull(), F.size(F.filter(words(v[0]), lambda w: stripped(w) != ""))).cast("long"))
-#: The commonest words, the default of NumberOfCommonWords; give word_set for another list.
-COMMON = (
-    "the of to and a in is it you that he was for on are with as i his they be at one have this from or had by not word but what some we can out other were all "
-    "there when up use your how said an each she which do their time if will way about many then them write would like so these her long make thing see him two "
-    "has look more day could go come did number sound no most people my over know water than call first who may down side been now find any new work part take get place"
-).split()
-transform("NumberOfCommonWords", [TEXT], R_INT,
-          lambda p, v, x: F.when(v[0].isNotNull(), F.size(F.filter(F.split(v[0], p.delimiters_regex), lambda w: stripped(F.lower(w)).isin(sorted(p.word_set))))).cast("long"),
-          params={"word_set": frozenset(COMMON), "delimiters_regex": SPLIT}, **_counted)
-transform("NumberOfHashtags", [TEXT], R_INT, count_of(r"(?U)((^#)|\s#)(\w*([^\W\d])+\w*)(?![#\w])"), **_counted)
+def _common(p, v, x):
+    known = sorted(common_words(p.vocabularies, p.most_words) if p.word_set is None else p.word_set)
+    return F.when(v[0].isNotNull(), F.size(F.filter(F.split(v[0], p.delimiters_regex), lambda w: stripped(F.lower(w)).isin(known)))).cast("long")
+
+
+transform("NumberOfCommonWords", [TEXT], R_INT, _common,
+          params={"word_set": None, "delimiters_regex": SPLIT, "vocabularies": VOCABULARIES, "most_words": 1_000}, **_counted)
+
+#: What counts as a word's character, a character of it that is no digit, and blank.
+WORD, LETTER, BLANK = r"[\p{L}\p{N}_]", r"[\p{L}\p{Nl}\p{No}_]", r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WORD, NOT_BLANK = WORD.replace("[", "[^", 1), BLANK.replace("[", "[^", 1)
 _no_at = "".join("\\" + c for c in PUNCTUATION if c != "@")
-transform("NumberOfMentions", [TEXT], R_INT, count_of(rf"(?U)((^@)|(\s+@))(\w+)(?=\s|$|[{_no_at}])"), **_counted)
+#: Patterns of a hashtag, of a mention, of a title word, and of what two quotation marks enclose.
+HASHTAG = rf"(?:^|{BLANK})#{WORD}*{LETTER}{WORD}*(?!#|{WORD})"
+MENTION = rf"(?:^|{BLANK})@{WORD}+(?={BLANK}|$|[{_no_at}])"
+TITLE = rf"[A-Z]{NOT_BLANK}*"
+QUOTED = {"double": rf'(?:^|{NOT_WORD})".*?"(?!{WORD})', "single": rf"(?:^|{NOT_WORD})'.*?'(?!{WORD})"}
+transform("NumberOfHashtags", [TEXT], R_INT, count_of(HASHTAG), **_counted)
+transform("NumberOfMentions", [TEXT], R_INT, count_of(MENTION), **_counted)
 
 
 def _unique_words(p, v, x):
     text = F.lower(v[0]) if p.case_insensitive else v[0]
-    ws = F.filter(F.transform(F.split(text, r"(?U)\s+"), stripped), lambda w: w != "")
+    ws = F.filter(F.transform(F.split(text, BLANK + "+"), stripped), lambda w: w != "")
     return F.when(v[0].isNotNull(), F.size(F.array_distinct(ws))).cast("long")
 
 
@@ -299,11 +308,10 @@ transform("NumberOfUniqueWords", [TEXT], R_INT, _unique_words, params={"case_ins
 
 
 def _quoted(p, v, x):
-    double, single = r'((^|\W)"(.)*?"(?!\w))', r"((^|\W)'(.)*?'(?!\w))"
-    if p.quote_type not in ("both", "single", "double"):
+    kinds = {"both": ["single", "double"], "single": ["single"], "double": ["double"]}
+    if p.quote_type not in kinds:
         raise ValueError(f"{p.quote_type} is not a valid quote_type. Specify 'both', 'single', or 'double'")
-    pattern = {"double": double, "single": single, "both": f"({single}|{double})"}[p.quote_type]
-    found = F.regexp_extract_all(v[0], F.lit("(?Us)" + pattern), 0)
+    found = F.regexp_extract_all(v[0], F.lit("(?s)" + "|".join(QUOTED[k] for k in kinds[p.quote_type])), 0)
     n = F.aggregate(
         found, F.lit(0), lambda a, m: a + F.size(F.filter(words(m), lambda w: F.btrim(w, F.lit(PUNCTUATION + " ")) != ""))
     )
@@ -312,7 +320,7 @@ def _quoted(p, v, x):
 
 transform("NumberOfWordsInQuotes", [TEXT], R_INT, _quoted, params={"quote_type": "both"}, **_counted)
 transform("PunctuationCount", [TEXT], R_INT, count_of(_punct), **_counted)
-transform("TitleWordCount", [TEXT], R_INT, count_of(r"(?U)([A-Z][^\s]*)"), **_counted)
+transform("TitleWordCount", [TEXT], R_INT, count_of(TITLE), **_counted)
 _not_counted = "[" + "".join("\\" + c for c in PUNCTUATION if c != "\\") + "\n\t ]"
 transform("TotalWordLength", [TEXT], R_INT, lambda p, v, x: (F.char_length(v[0]) - F.regexp_count(v[0], F.lit(p.do_not_count))).cast("long"),
           params={"do_not_count": _not_counted}, **_counted)
@@ -331,42 +339,51 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
 _name_in = [template("PersonFullName")]
 
 
+#: Patterns that tell the parts of a full name, of a path, and of a URL.
+TITLE_AND_LAST = r"^[A-Z][a-z]+\. [A-Z][a-z]+$"
+TITLE_DOT = r"([A-Z][a-z]+)\. "
+FIRST_NAME = r"([A-Z][a-z]+ |, [A-Z][a-z]+$|^[A-Z][a-z]+$)"
+LAST_NAME = r"(^.+?,|^[A-Z][a-z]+\. [A-Z][a-z]+$| [A-Z][a-z]+$| [A-Z][a-z]+[/-][A-Z][a-z]+$)"
+EXTENSION = r"(\.[a-z|A-Z]+$)"
+HOST = r"^(?:https?:\/\/)?(?:[^@\/\n]+@)?(?:www\.)?([^:\/?\n]+)"
+PROTOCOL = r"^(https|http)(?:\:)"
+
+
 def _first_name(p, v, x):
-    s = F.regexp_replace(F.regexp_replace(v[0], r"^[A-Z][a-z]+\. [A-Z][a-z]+$", ""), r"([A-Z][a-z]+)\. ", "")
-    return F.trim(F.regexp_replace(first_match(s, r"([A-Z][a-z]+ |, [A-Z][a-z]+$|^[A-Z][a-z]+$)"), ",", ""))
+    s = F.regexp_replace(F.regexp_replace(v[0], TITLE_AND_LAST, ""), TITLE_DOT, "")
+    return F.trim(F.regexp_replace(first_match(s, FIRST_NAME), ",", ""))
 
 
 def _last_name(p, v, x):
-    s = first_match(v[0], r"(^.+?,|^[A-Z][a-z]+\. [A-Z][a-z]+$| [A-Z][a-z]+$| [A-Z][a-z]+[/-][A-Z][a-z]+$)")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"([A-Z][a-z]+)\. ", ""), ",", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(first_match(v[0], LAST_NAME), TITLE_DOT, ""), ",", ""))
 
 
 transform("FullNameToFirstName", _name_in, R_CAT, _first_name)
 transform("FullNameToLastName", _name_in, R_CAT, _last_name)
-transform("FullNameToTitle", _name_in, R_CAT, lambda p, v, x: first_match(v[0], r"([A-Z][a-z]+)\. "))
-transform("FileExtension", [template("Filepath")], R_CAT, lambda p, v, x: F.lower(first_match(v[0], r"(\.[a-z|A-Z]+$)")))
+transform("FullNameToTitle", _name_in, R_CAT, lambda p, v, x: first_match(v[0], TITLE_DOT))
+transform("FileExtension", [template("Filepath")], R_CAT, lambda p, v, x: F.lower(first_match(v[0], EXTENSION)))
 
 
 def domain_of(email: Column) -> Column:
     return F.get(F.split(F.trim(email), "@"), 1)
 
 
-#: Well-known free mail domains, the default; give domains for another list.
+#: Well-known free mail domains, the default; give domains, a list or the path of a text file, for another list.
 FREE_DOMAINS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "live.com", "msn.com", "mail.com", "gmx.com", "gmx.de", "web.de", "protonmail.com", "yandex.com", "zoho.com"]
 transform("EmailAddressToDomain", [template("EmailAddress")], R_CAT, lambda p, v, x: domain_of(v[0]))
-transform("IsFreeEmailDomain", [template("EmailAddress")], R_BOOL, lambda p, v, x: domain_of(v[0]).isin(list(p.domains)), params={"domains": FREE_DOMAINS})
-HOST = r"^(?:https?:\/\/)?(?:[^@\/\n]+@)?(?:www\.)?([^:\/?\n]+)"
+transform("IsFreeEmailDomain", [template("EmailAddress")], R_BOOL, lambda p, v, x: domain_of(v[0]).isin(names(p.domains)), params={"domains": FREE_DOMAINS})
 transform("URLToDomain", [template("URL")], R_CAT, lambda p, v, x: first_match(v[0], HOST), name="url_to_domain")
-transform("URLToProtocol", [template("URL")], R_CAT, lambda p, v, x: first_match(v[0], r"^(https|http)(?::)"), name="url_to_protocol")
+transform("URLToProtocol", [template("URL")], R_CAT, lambda p, v, x: first_match(v[0], PROTOCOL), name="url_to_protocol")
 
 
 def _tld(p, v, x):
-    """The last label of the host, or the last one of the list ``tlds`` that begins a label."""
+    """The last label of the host if it is made of letters; or the longest ending of the host in ``tlds``, a list or the path of a text file."""
     host = first_match(v[0], HOST)
     if p.tlds is None:
         return first_match(host, r"\.([A-Za-z]{2,})\.?$")
-    longest_first = sorted(p.tlds, key=lambda s: -len(s))
-    return F.get(F.reverse(F.regexp_extract_all(host, F.lit(r"(?:\.(" + "|".join(longest_first) + "))"), 1)), 0)
+    labels = F.split(F.btrim(host, F.lit(".")), r"\.")
+    endings = F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.get(F.filter(endings, lambda e: F.lower(e).isin(names(p.tlds))), 0)
 
 
 transform("URLToTLD", [template("URL")], R_CAT, _tld, name="url_to_tld", params={"tlds": None})

@@ -55,6 +55,7 @@ def asof_attributes(
     version_id: str,
     attributes: tuple[str, ...] = (),
     profile: DataFrame | None = None,
+    version_profile: DataFrame | None = None,
     into: str = "version",
     slice_rows: int = 50_000,
     most_heavy: int = 10_000,
@@ -67,11 +68,12 @@ def asof_attributes(
     with versions before events of the same instant, and the greatest version so
     far is carried forward: one sort, no pairs of events and versions.
 
-    Entities with more than ``slice_rows`` events (or rows / ``most_heavy``, which
-    bounds their number) are cut into time slices of about that many events; each
-    slice gets the state that earlier slices leave as its first row, computed from
-    the versions alone. ``profile`` may give a cheaper table with the same entity
-    and time columns to find those entities from; it only affects balance.
+    Entities with more than ``slice_rows`` events and versions (or rows /
+    ``most_heavy``, which bounds their number) are cut into time slices of about that
+    many rows; each slice gets the state that earlier slices leave as its first row,
+    computed from the versions alone. ``profile`` and ``version_profile`` may give
+    cheaper tables with the same columns to find those entities from; they only affect
+    balance. Rows of one entity and instant stay in one slice.
 
     Events with a null entity or time, or without a visible version, get a null
     struct. Versions with a null entity or time are never visible. Repeated events
@@ -97,7 +99,9 @@ def asof_attributes(
     )
     seen = (events if profile is None else profile).select(
         F.col(f"`{entity}`").alias(E), F.col(f"`{time}`").alias(AT)
-    ).where(f"{E} is not null and {AT} is not null")
+    ).unionByName((vers if version_profile is None else version_profile.select(
+        F.col(f"`{version_entity}`").cast(events.schema[entity].dataType).alias(E), F.greatest(effective_from, known_at).cast(stamp).alias(AT)
+    )).select(E, AT)).where(f"{E} is not null and {AT} is not null")
     heavy = heavy_keys(seen, E, slice_rows, most_heavy)
     bounds = _slice_bounds(seen, heavy, stamp)
 

@@ -17,18 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import shuffle_width
+
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 NEVER = np.iinfo(np.int64).min
 NUMBERS = ("count", "plus", "minus")
 
-PARTIAL = (
-    "block long, types binary, sizes binary, ordinals binary, "
-    "count array<binary>, plus array<binary>, minus array<binary>, latest binary"
-)
+PARTIAL = "block long, node long, types binary, sizes binary, ordinals binary, count binary, plus binary, minus binary, latest binary"
+KINDS = pa.schema([("block", pa.int64()), ("node", pa.int64()), *[(n, pa.binary()) for n in ("types", "sizes", "ordinals", *NUMBERS, "latest")]])
 
 
 def carry_add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
@@ -103,25 +104,26 @@ class SlicedTable:
             types, np.bincount(cells >> BLOCK_BITS, minlength=len(types)), cells & (BLOCK - 1), numbers, latest
         )
 
-    def pack(self, block: int) -> dict:
-        return {
-            "block": int(block),
-            "types": self.types.astype(np.int64).tobytes(),
-            "sizes": self.sizes.astype(np.int32).tobytes(),
-            "ordinals": self.ordinals.astype(np.uint16).tobytes(),
-            **{name: [s.tobytes() for s in self.numbers[name]] for name in NUMBERS},
-            "latest": self.latest.astype(np.int64).tobytes(),
-        }
+    def pack(self, block: int, node: int) -> tuple:
+        """A row of PARTIAL; the slices of a number stand one after another."""
+        return (
+            int(block), node, self.types.astype(np.int64).tobytes(), self.sizes.astype(np.int32).tobytes(), self.ordinals.astype(np.uint16).tobytes(),
+            *(b"".join(x.tobytes() for x in self.numbers[name]) for name in NUMBERS), self.latest.astype(np.int64).tobytes(),
+        )
 
     @staticmethod
-    def unpack(row: dict) -> SlicedTable:
+    def unpack(batch: pa.RecordBatch, row: int) -> SlicedTable:
+        blob = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
+        ordinals = blob("ordinals", np.uint16).astype(np.int64)
+        wide = -(-len(ordinals) // 8)
         return SlicedTable(
-            np.frombuffer(row["types"], np.int64),
-            np.frombuffer(row["sizes"], np.int32),
-            np.frombuffer(row["ordinals"], np.uint16).astype(np.int64),
-            {name: [np.frombuffer(s, np.uint8) for s in row[name]] for name in NUMBERS},
-            np.frombuffer(row["latest"], np.int64),
-        )
+            blob("types", np.int64), blob("sizes", np.int32), ordinals, {name: list(blob(name, np.uint8).reshape(-1, wide)) for name in NUMBERS},
+            blob("latest", np.int64),
+        )
+
+
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), KINDS)], schema=KINDS)
 
 
 def batch_tables(entity, kind, cents, latest) -> Iterator[tuple[int, SlicedTable]]:
@@ -189,25 +191,26 @@ def _column(batch: pa.RecordBatch, i: int, default: int) -> np.ndarray:
     return col.fill_null(default).to_numpy(zero_copy_only=False)
 
 
-def _build(batch_rows: int):
+def _build(batch_rows: int, block_rows: int, most_rows: int, nodes: int):
+    """Partial tables of batches; a batch grows with the blocks it holds, and its node tells partials of a block apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        schema = pa.schema(
-            [("block", pa.int64()), ("types", pa.binary()), ("sizes", pa.binary()), ("ordinals", pa.binary())]
-            + [(n, pa.list_(pa.binary())) for n in NUMBERS]
-            + [("latest", pa.binary())]
-        )
+        task = TaskContext.get()
+        node = task.partitionId() if task else 0
+        held, rows, due = [], 0, batch_rows
 
         def flush():
             cols = [np.concatenate(x) for x in zip(*held)]
-            return pa.RecordBatch.from_pylist([t.pack(b) for b, t in batch_tables(*cols)], schema=schema)
+            return packed([t.pack(b, node % nodes) for b, t in batch_tables(*cols)])
 
         for batch in batches:
             held.append([_column(batch, 0, 0), _column(batch, 1, 0), _column(batch, 2, 0), _column(batch, 3, NEVER)])
             rows += batch.num_rows
-            if rows >= batch_rows:
+            if rows >= due:
+                due = max(batch_rows, min(most_rows, block_rows * len(np.unique(np.concatenate([x[0] for x in held]) >> BLOCK_BITS))))
+            if rows >= due:
                 yield flush()
-                held, rows = [], 0
+                held, rows, due, node = [], 0, batch_rows, node + 1
         if rows:
             yield flush()
 
@@ -234,7 +237,9 @@ def _decode(block: int, t: SlicedTable, names: list[str], stamp: pa.DataType) ->
     )
 
 
-def _reduce(names: list[str], stamp: pa.DataType):
+def _merge(finish):
+    """Merges the tables of each (block, node), sorted, in the order of a binary counter; ``finish(block, node, table)`` makes a batch of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, stack = None, []
 
@@ -245,21 +250,21 @@ def _reduce(names: list[str], stamp: pa.DataType):
                 t, size = other.merge(t), size + other_size
             stack.append((size, t))
 
-        def finish():
+        def done():
             t = stack.pop()[1]
             while stack:
                 t = stack.pop()[1].merge(t)
-            return _decode(current, t, names, stamp)
+            return finish(*current, t)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != current:
+            for row, key in enumerate(zip(batch.column("block").to_pylist(), batch.column("node").to_pylist())):
+                if key != current:
                     if stack:
-                        yield finish()
-                    current = row["block"]
-                push(SlicedTable.unpack(row))
+                        yield done()
+                    current = key
+                push(SlicedTable.unpack(batch, row))
         if stack:
-            yield finish()
+            yield done()
 
     return run
 
@@ -271,6 +276,10 @@ def entity_features(
     value: Column,
     time: Column,
     batch_rows: int = 131_072,
+    rows: int | None = None,
+    fan_in: int = 16,
+    block_rows: int = 64,
+    most_rows: int = 2_097_152,
 ) -> DataFrame:
     """One row per entity with count, total and latest time of each event type.
 
@@ -283,16 +292,33 @@ def entity_features(
     ascending order of type, of the types the entity has. Rows with a null entity
     or type have no cell and are left out; a null value counts but adds 0; a null
     time is never the latest (null if there is no other). Empty input, no rows.
+
+    A batch has ``batch_rows`` rows, or ``block_rows`` for each block it meets where
+    that is more, up to ``most_rows``. The partial tables of a block merge in rounds
+    of about ``fan_in``, keyed by (block, node), so a block that every batch meets is
+    no single task's work. ``rows`` is an upper bound of the row count (counted if not
+    given); it sets the number of rounds.
     """
+    if rows is None:
+        rows = events.count()
     stamp_type = events.select(time.alias("t")).schema["t"].dataType
     stamp = pa.timestamp("us") if stamp_type.simpleString() == "timestamp_ntz" else pa.timestamp("us", "UTC")
     cells = events.select(
         entity.cast("long").alias("e"), kind.cast("long").alias("k"), value.cast("long").alias("v"), time.alias("t")
     ).where("e is not null and k is not null")
-    partial = cells.mapInArrow(_build(batch_rows), PARTIAL)
+    width = shuffle_width(events.sparkSession)
+    nodes = max(width, -(-rows // batch_rows))  # at most about so many partials of a block
+    partial = cells.mapInArrow(_build(batch_rows, block_rows, most_rows, nodes), PARTIAL)
+    while nodes > fan_in:
+        nodes = -(-nodes // fan_in)
+        partial = (
+            partial.withColumn("node", F.pmod("node", F.lit(nodes))).repartition("block", "node").sortWithinPartitions("block", "node")
+            .mapInArrow(_merge(lambda block, node, t: packed([t.pack(block, node)])), PARTIAL)
+        )
     names = ["entity_id", "types", "counts", "totals", "latest"]
     out = (
         f"entity_id long, types array<long>, counts array<long>, totals array<long>, "
         f"latest array<{stamp_type.simpleString()}>"
     )
-    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(_reduce(names, stamp), out)
+    last = partial.withColumn("node", F.lit(0).cast("long")).repartition("block").sortWithinPartitions("block")
+    return last.mapInArrow(_merge(lambda block, _, t: _decode(block, t, names, stamp)), out)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import shuffle_width
+
 #: Monoids: identity and combine; none needs an inverse.
 MONOIDS = {
     "sum": (0, np.add),
@@ -54,6 +56,13 @@ def _daily(days: int, windows: tuple[int, ...], monoids: list[str], keep, block:
             [("entity", pa.int64()), ("day", pa.int32())]
             + [(f"{n}_{w}", pa.int64()) for w in windows for n in names]
         )
+        # what stands for no value at all, by column of the result; a sum of nothing is 0
+        nothing = [None, None, *[None if m == "sum" else MONOIDS[m][0] for _ in windows for m in monoids]]
+        unseen = [0, -1, *[MONOIDS[m][0] for m in monoids]]
+
+        def packed(held: list) -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array(c, mask=None if x is None else c == x) for c, x in zip(cols, nothing)], schema=schema)
 
         def emit(entity, day, values, member) -> Iterator[pa.RecordBatch]:
             """One block of whole entities; a row with day -1 marks a member."""
@@ -81,16 +90,14 @@ def _daily(days: int, windows: tuple[int, ...], monoids: list[str], keep, block:
                     held.append([ids[hit], np.full(len(hit), d, np.int32), *[c[hit] for c in cols.values()]])
                     count += len(hit)
                 if held and (count >= 200_000 or d == days - 1):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema
-                    )
+                    yield packed(held)
                     held, count = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], schema=schema)
+                yield packed(held)
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            cols = [batch.column(i).fill_null(x).to_numpy(zero_copy_only=False) for i, x in enumerate(unseen)]
             rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols)]
             starts = np.flatnonzero(np.r_[True, rest[0][1:] != rest[0][:-1]])
             if len(starts) > block:
@@ -112,6 +119,7 @@ def rolling_totals(
     states: dict[str, str],
     keep: Callable | None = None,
     block: int = 2_048,
+    task_rows: int = 4_000_000,
 ) -> DataFrame:
     """For each entity of ``entities`` and day from start to end, aggregates of trailing windows.
 
@@ -123,10 +131,14 @@ def rolling_totals(
     without activity pushing the identity.
 
     ``keep(day, first_day, columns)`` is a predicate over vectors, pushed into the
-    operator so that only rows of interest leave it. Result: entity, day (int) and
-    ``<name>_<window>``. Days outside the calendar and null entities are left out;
-    an entity without rows has identities throughout; entities not in ``entities``
-    have no rows.
+    operator so that only rows of interest leave it; in them a minimum or maximum of
+    nothing is its monoid's identity. Result: entity, day (int) and
+    ``<name>_<window>``. Days outside the calendar and null entities are left out. A
+    null state adds nothing; the sum of nothing is 0, the minimum or maximum of
+    nothing null. Entities not in ``entities`` have no rows.
+
+    The partitions are as many as entities times days in pieces of ``task_rows`` ask
+    for: the result outgrows its input, so the input's size says little.
     """
     days = (end - start).days + 1
     names = list(states)
@@ -134,6 +146,7 @@ def rolling_totals(
     marks = entities.where(F.col("entity").isNotNull()).select(
         F.col("entity").cast("long"), F.lit(-1).alias("day"), *[F.lit(None).cast("long").alias(n) for n in names]
     )
-    both = mine.unionByName(marks).repartition("entity").sortWithinPartitions("entity", "day")
+    parts = max(shuffle_width(daily.sparkSession), -(-entities.count() * days // task_rows))
+    both = mine.unionByName(marks).repartition(parts, "entity").sortWithinPartitions("entity", "day")
     out = "entity long, day int, " + ", ".join(f"{n}_{w} long" for w in windows for n in names)
     return both.mapInArrow(_daily(days, windows, [states[n] for n in names], keep, block, names), out)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.asof import asof_attributes
 from tallyloom.operators.bitslice import entity_features
-from tallyloom.operators.multiselect import build_runs, select_percentiles
 from tallyloom.operators.rolling import rolling_totals
 from tallyloom.operators.tree_aggregate import tree_aggregate
 from tallyloom.session import materialize
@@ -105,7 +104,7 @@ def customer_product_features(spark: SparkSession, folder: str) -> DataFrame:
     se = copies(spark, folder, "sessions", "session_id", "session_start").withColumn("known", F.lit(True))
     events = tx.join(se, ["session_id", "known"], "left")
     return entity_features(
-        events, F.col("customer_id"), F.col("product_id"), F.col("cents"), F.col("session_start")
+        events, F.col("customer_id"), F.col("product_id"), F.col("cents"), F.col("session_start"), rows=table(spark, folder, "transactions").count()
     )
 
 
@@ -183,7 +182,7 @@ def known_versions(spark: SparkSession, folder: str) -> DataFrame:
     )
     return asof_attributes(
         tx.unionByName(cu), versions, "customer_id", "at", "customer_id", "effective_from", "known_at", "version_id",
-        profile=profile,
+        profile=profile, version_profile=table(spark, folder, "customer_versions"),
     )
 
 
@@ -206,44 +205,6 @@ j as (select table_name, row_id, version_id, row_number() over (partition by tab
 select table_name, row_id, version_id from j where rn = 1"""
 
 
-# 4: percentiles of very large numeric columns
-PERCENTS = (50, 90, 95, 99)
-
-
-def amount_runs(spark: SparkSession, folder: str) -> DataFrame:
-    tx = transactions(spark, folder, "customer_id", "amount").select(
-        "transaction_id", "customer_id", cents(F.col("amount")).alias("cents")
-    )
-    return build_runs(tx, "customer_id", "cents", "transaction_id", profile=table(spark, folder, "transactions"))
-
-
-def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    runs = materialize(amount_runs(spark, folder), "p4")
-    return select_percentiles(runs, PERCENTS).withColumnRenamed("group_id", "customer_id")
-
-
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    high = F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.col(f"p{p}").alias("v")) for p in PERCENTS[1:]]))
-    out = (
-        p4_percentiles(spark, folder)
-        .where("n >= 100 and p50 > 0")
-        .select("customer_id", "p50", high.alias("h"))
-        .where("h.v >= 10 * p50")
-        .select("customer_id", F.col("h.pct").alias("pct"))
-    )
-    return out.join(customer_ids(spark, folder), "customer_id", "left_semi")
-
-
-P4_RANKS = f"""{TX}, a as (select customer_id, c, row_number() over (partition by customer_id order by c) k,
-  count(*) over (partition by customer_id) n
-  from (select customer_id, {CENTS} c from tx) where c is not null and customer_id is not null),
-p as (select customer_id, n, {', '.join(f'max(case when k = (n * {p} + 99) // 100 then c end) p{p}' for p in PERCENTS)}
-  from a group by 1, 2)"""
-P4_PERCENTILES_SQL = f"with {P4_RANKS} select customer_id, n, p50, p90, p95, p99 from p"
-P4_FOUND_SQL = f"""with {P4_RANKS}, {CUST}
-{' union all '.join(f'select customer_id, {p} pct from p where n >= 100 and p50 > 0 and p{p} >= 10 * p50 and customer_id in (select customer_id from cust)' for p in PERCENTS[1:])}"""
-
-
 # 5: rolling totals over trailing periods
 def daily_amounts(spark: SparkSession, folder: str) -> DataFrame:
     tx = transactions(spark, folder, "customer_id", "transaction_time", "amount")
@@ -281,6 +242,16 @@ def p5_daily(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p5_extremes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer and day of the calendar: least and greatest amount in cents over the last 7 and 30 days, null where there is none."""
+    tx = transactions(spark, folder, "customer_id", "transaction_time", "amount")
+    day = F.datediff(F.col("transaction_time").cast("date"), F.lit(CALENDAR[0]))
+    daily = tx.select(F.col("customer_id").alias("entity"), day.alias("day"), cents(F.col("amount")).alias("c")).groupBy("entity", "day").agg(F.min("c").alias("least"), F.max("c").alias("greatest"))
+    ids = customer_ids(spark, folder).withColumnRenamed("customer_id", "entity")
+    out = rolling_totals(daily, ids, *CALENDAR, (7, 30), {"least": "min", "greatest": "max"})
+    return out.select(F.col("entity").alias("customer_id"), _day("day").alias("activity_day"), "least_7", "greatest_7", "least_30", "greatest_30")
+
+
 P5_DAYS = f"""{TX}, {CUST},
 d as (select customer_id, cast(transaction_time as date) dd, sum({CENTS}) c, count({CENTS}) n from tx
   where transaction_time >= timestamp '2024-01-01' and transaction_time < timestamp '2025-07-01'
@@ -294,13 +265,18 @@ P5_FOUND_SQL = f"""with {P5_DAYS} select customer_id, strftime(dd, '%Y-%m-%d') a
 where dd >= f + 29 and 5 * total_7 >= 4 * total_30 and total_30 >= 200000"""
 P5_DAILY_SQL = f"""with {P5_DAYS} select customer_id, strftime(dd, '%Y-%m-%d') activity_day, cast(total_7 as bigint) total_7, cast(n_7 as bigint) n_7,
   round(case when n_7 > 0 then total_7 / n_7 end, 3) mean_7, cast(total_30 as bigint) total_30, cast(n_30 as bigint) n_30, round(case when n_30 > 0 then total_30 / n_30 end, 3) mean_30 from w"""
+P5_EXTREMES_SQL = f"""with {TX}, {CUST},
+d as (select customer_id, cast(transaction_time as date) dd, min({CENTS}) a, max({CENTS}) b from tx where customer_id in (select customer_id from cust) group by 1, 2),
+cal as (select cast(unnest(generate_series(date '2024-01-01', date '2025-06-30', interval 1 day)) as date) dd)
+select customer_id, strftime(dd, '%Y-%m-%d') activity_day, {', '.join(f'{f}({x}) over (partition by customer_id order by dd rows {k - 1} preceding) {y}_{k}' for k in (7, 30) for f, x, y in (('min', 'a', 'least'), ('max', 'b', 'greatest')))}
+from (select cust.customer_id, cal.dd, a, b from cust cross join cal left join d on d.customer_id = cust.customer_id and d.dd = cal.dd)"""
 
 QUERIES = {
     "p1_found": p1_found, "p1_totals": p1_totals, "p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found,
-    "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_daily": p5_daily,
+    "p5_found": p5_found, "p5_daily": p5_daily, "p5_extremes": p5_extremes,
 }
 SQL = {
     "p1_found": P1_FOUND_SQL, "p1_totals": P1_TOTALS_SQL, "p2_found": P2_FOUND_SQL, "p2_features": P2_FEATURES_SQL,
-    "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_percentiles": P4_PERCENTILES_SQL, "p5_found": P5_FOUND_SQL,
-    "p5_daily": P5_DAILY_SQL,
+    "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL,
+    "p5_daily": P5_DAILY_SQL, "p5_extremes": P5_EXTREMES_SQL,
 }

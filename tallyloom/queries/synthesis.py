@@ -9,6 +9,7 @@ from tallyloom.entityset import EntitySet
 from tallyloom.features import AggregationFeature as Agg
 from tallyloom.features import DirectFeature, Feature, GroupByTransformFeature, IdentityFeature, TransformFeature
 from tallyloom.functions.base import AGGREGATIONS, TRANSFORMS
+from tallyloom.functions.wordlists import common_words
 from tallyloom.operators import postprocess as post
 from tallyloom.plans.executor import calculate_feature_matrix
 from tallyloom.plans.planner import dfs
@@ -43,7 +44,8 @@ def star(spark: SparkSession, folder: str) -> EntitySet:
     es.add_dataframe(read("region"), "region", "r_regionkey")
     es.add_dataframe(read("nation"), "nation", "n_nationkey")
     es.add_dataframe(read("customer"), "customer", "c_custkey")
-    es.add_dataframe(read("orders").withColumn("big", F.col("o_totalprice") > 250000), "orders", "o_orderkey", "o_orderdate")
+    urgent = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))  # null for some
+    es.add_dataframe(read("orders").withColumns({"big": F.col("o_totalprice") > 250000, "urgent": urgent}), "orders", "o_orderkey", "o_orderdate")
     es.add_dataframe(read("part"), "part", "p_partkey")
     items = read("lineitem").select(
         "*", (F.col("l_orderkey") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("l_id"),
@@ -266,16 +268,16 @@ def win_weighted(spark: SparkSession, folder: str) -> DataFrame:
   5 / nullif(o_totalprice, 0) r_div, o_totalprice - 7 * floor(o_totalprice / 7) s_mod, -o_totalprice neg, abs(o_totalprice) absolute, sin(o_totalprice) sine, cos(o_totalprice) cosine, tan(o_totalprice / 1000000) tangent, sqrt(o_totalprice) root,
   ln(o_totalprice) log, o_totalprice > o_custkey gt, o_totalprice >= o_custkey ge, o_totalprice < o_custkey lt, o_totalprice <= o_custkey le, o_totalprice > 100 s_gt, o_totalprice >= 100 s_ge,
   o_totalprice < 100 s_lt, o_totalprice <= 100 s_le, o_totalprice = o_custkey eq, o_totalprice <> o_custkey ne, o_orderstatus = 'F' s_eq, o_orderstatus <> 'F' s_ne, o_orderstatus in ('F', 'P') is_in,
-  o_orderstatus is null is_null, big and big b_and, big or big b_or, not big b_not, big and big b_mul, o_totalprice * big::int nb_mul
- from (select *, o_totalprice > 250000 big from orders)""", {"p_add": 3, "p_sub": 3, "p_mul": 2, "p_div_raw": 9, "p_mod": 3, "s_add": 3, "s_sub": 3, "s_mul": 3, "s_div": 4, "r_sub": 3, "r_div": 9, "s_mod": 3, "sine": 5, "cosine": 5, "tangent": 9, "root": 6, "log": 8})
+  o_orderstatus is null is_null, big and urgent b_and, big or urgent b_or, not urgent b_not, big and urgent b_mul, o_totalprice * urgent::int nb_mul, 5 - o_totalprice * floor(5 / nullif(o_totalprice, 0)) r_mod
+ from (select *, o_totalprice > 250000 big, case when o_orderpriority <> '3-MEDIUM' then o_orderpriority in ('1-URGENT', '2-HIGH') end urgent from orders)""", {"p_add": 3, "p_sub": 3, "p_mul": 2, "p_div_raw": 9, "p_mod": 3, "s_add": 3, "s_sub": 3, "s_mul": 3, "s_div": 4, "r_sub": 3, "r_div": 9, "s_mod": 3, "sine": 5, "cosine": 5, "tangent": 9, "root": 6, "log": 8})
 def scalar_numbers(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
-    price, cust, status, big = (IdentityFeature(es, "orders", c) for c in ("o_totalprice", "o_custkey", "o_orderstatus", "big"))
+    price, cust, status, big, urgent = (IdentityFeature(es, "orders", c) for c in ("o_totalprice", "o_custkey", "o_orderstatus", "big", "urgent"))
     one = lambda n: TransformFeature([price], n)
     fs = {"p_add": price + cust, "p_sub": price - cust, "p_mul": price * cust, "p_mod": price % cust, "s_add": price + 2, "s_sub": price - 2, "s_mul": price * 2, "s_div": price / 2, "r_sub": 5 - price,
           "r_div": 5 / price, "s_mod": price % 7, "neg": -price, "absolute": abs(price), "sine": one("sine"), "cosine": one("cosine"), "tangent": TransformFeature([price / 1000000], "tangent"), "root": one("square_root"), "log": one("natural_logarithm"),
           "gt": price > cust, "ge": price >= cust, "lt": price < cust, "le": price <= cust, "s_gt": price > 100, "s_ge": price >= 100, "s_lt": price < 100, "s_le": price <= 100, "eq": price == cust,
-          "ne": price != cust, "s_eq": status == "F", "s_ne": status != "F", "is_in": status.isin(["F", "P"]), "is_null": status.is_null(), "b_and": big & big, "b_or": big | big, "b_not": ~big, "b_mul": big * big, "nb_mul": price * big}
+          "ne": price != cust, "s_eq": status == "F", "s_ne": status != "F", "is_in": status.isin(["F", "P"]), "is_null": status.is_null(), "b_and": big & urgent, "b_or": big | urgent, "b_not": ~urgent, "b_mul": big * urgent, "nb_mul": price * urgent, "r_mod": 5 % price}
     div = (price / (cust - 5)).rename("p_div")
     out = calculate_feature_matrix([*[f.rename(n) for n, f in fs.items()], div], es)
     # the quotient has infinities, which become nulls
@@ -324,42 +326,67 @@ PUNCT = r"""[!-/:-@\[-`{-~]"""
 _TOK = r"""list_filter(string_split_regex(text, '[ \n\t]'), lambda w: trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') <> '')"""
 
 
-_COUNTS = rf"""select doc_id, length(text)::bigint n_chars, len({_TOK})::bigint n_words, len(regexp_extract_all(text, '{PUNCT}'))::bigint punct, len(regexp_extract_all(text, '[A-Z]'))::bigint uppers,
+@query(rf"""select doc_id, length(text)::bigint n_chars, len({_TOK})::bigint n_words, len(regexp_extract_all(text, '{PUNCT}'))::bigint punct, len(regexp_extract_all(text, '[A-Z]'))::bigint uppers,
   len(regexp_extract_all(text, ' '))::bigint blanks,
   (contains(text, ' ')::int + contains(text, '.')::int + contains(text, ',')::int + contains(text, '!')::int + contains(text, '?')::int + contains(text, ';')::int + contains(text, chr(10))::int)::bigint seps,
-  len(regexp_extract_all(lower(text), 'claim'))::bigint n_claim from """
+  len(regexp_extract_all(lower(text), 'claim'))::bigint n_claim from documents""")
+def text_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of characters and words of every document."""
+    spec = {"n_chars": "num_characters", "n_words": "num_words", "punct": "punctuation_count", "uppers": "upper_case_count", "blanks": "whitespace_count",
+            "seps": "num_unique_separators", "n_claim": T["count_string"](string="claim")}
+    es = _texts(spark, folder)
+    return calculate_feature_matrix(trans(es, "documents", {k: (v, "text") for k, v in spec.items()}), es)
 
 
-@query(f"{_COUNTS}(select * from documents where text is null or lang in ('en', 'EN'))")
-def text_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts that two regular-expression dialects agree on, of the texts that the SQL takes; ``text_counts_all`` has all."""
-    return _counts(_texts(spark, folder, "text is null or lang in ('en', 'EN')"))
+def _texts(spark: SparkSession, folder: str) -> EntitySet:
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    return EntitySet("texts").add_dataframe(docs, "documents", "doc_id", logical_types={"text": "NaturalLanguage"})
 
 
-@query(f"{_COUNTS}documents")
-def text_counts_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same counts of every document."""
-    return _counts(_texts(spark, folder))
+#: The SQL's own classes: its dialect has no look-ahead, so a text is cut at blanks and each piece looked at by itself.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_W, _NW, _WL = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_#]", r"[\p{L}\p{Nl}\p{No}_]"
+_P = r"""!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~"""
+_NO_AT = r"""[!-/:-?\[-`{-~]"""
 
 
-def _counts(es: EntitySet) -> DataFrame:
-    spec = {"n_chars": "num_characters", "n_words": "num_words", "punct": "punctuation_count", "uppers": "upper_case_count", "blanks": "whitespace_count",
-            "seps": "num_unique_separators", "n_claim": T["count_string"](string="claim")}
-    return calculate_feature_matrix(trans(es, "documents", {k: (v, "text") for k, v in spec.items()}), es)
+def _words_sql(known) -> str:
+    return rf"""with p as (select doc_id, text, string_split_regex(text, '[ \n\t]') w, string_split_regex(text, '{_BLANK}') b,
+   list_filter(string_split_regex(regexp_replace(text, '[!,.:;?]+(\z|[ \n])', ' ', 'g'), '{_BLANK}+'), lambda x: x <> '') m from documents)
+ select doc_id, case when text is not null then coalesce(list_avg(list_transform(m, lambda x: length(x))), 0) end mean_length, list_aggregate(list_transform(list_filter(w, lambda x: x <> ''), lambda x: length(x)), 'median') median_length,
+  len(list_filter(w, lambda x: list_contains([{', '.join(f"'{k}'" for k in sorted(known))}], trim(lower(x), '{_P}')))) common,
+  len(list_filter(b, lambda x: regexp_matches(x, '^#{_W}*{_WL}{_W}*($|{_NW})'))) hashtags, len(list_filter(b, lambda x: regexp_matches(x, '^@{_W}+($|{_NO_AT})'))) mentions,
+  len(list_distinct(list_filter(list_transform(b, lambda x: trim(x, '{_P}')), lambda x: x <> ''))) distinct_words,
+  len(regexp_extract_all(text, '[A-Z][^{_BLANK[1:]}*')) title_words, length(text) - len(regexp_extract_all(text, '[!-/:-@\[\]^_`{{-~\n\t ]')) word_length,
+  len(list_filter(w, lambda x: trim(x, '{_P}') <> '' and upper(x) = x)) upper_words from p"""
 
 
-def _texts(spark: SparkSession, folder: str, where: str = "true") -> EntitySet:
-    es = EntitySet("texts")
-    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").where(where)
-    return es.add_dataframe(docs, "documents", "doc_id", logical_types={"text": "NaturalLanguage"})
+TITLES = {"mean_length": "mean_characters_per_word", "median_length": "median_word_length", "common": "number_of_common_words", "hashtags": "number_of_hashtags", "mentions": "number_of_mentions",
+          "distinct_words": "number_of_unique_words", "title_words": "title_word_count", "word_length": "total_word_length", "upper_words": "upper_case_word_count"}
 
 
-@query()
+def _known_words():
+    """The words that number_of_common_words counts by default; a few where the vocabularies are missing."""
+    try:
+        return common_words(), {}
+    except FileNotFoundError:
+        return {"the", "of", "and", "to", "in"}, {"word_set": frozenset({"the", "of", "and", "to", "in"})}
+
+
+@query(_words_sql(_known_words()[0]), {"mean_length": 9})
 def text_words(spark: SparkSession, folder: str) -> DataFrame:
-    """The other text primitives; their patterns differ between dialects, so they are tested against Python."""
+    """The measures of words of every document."""
+    es = _texts(spark, folder)
+    spec = {**TITLES, "common": T["number_of_common_words"](**_known_words()[1])}
+    out = calculate_feature_matrix(trans(es, "documents", {k: (v, "text") for k, v in spec.items()}), es)
+    return out.withColumns({c: F.col(c).cast("long") for c in TITLES if not c.endswith("_length") or c == "word_length"})
+
+
+@query()
+def text_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Words between quotation marks of every document; the SQL dialect has no look-ahead, so it is tested against Python."""
     es = _texts(spark, folder)
-    names = ["mean_characters_per_word", "median_word_length", "number_of_common_words", "number_of_hashtags", "number_of_mentions", "number_of_unique_words", "number_of_words_in_quotes", "title_word_count", "total_word_length", "upper_case_word_count"]
-    return calculate_feature_matrix(trans(es, "documents", {n: (n, "text") for n in names}), es)
+    return calculate_feature_matrix(trans(es, "documents", {"quoted": ("number_of_words_in_quotes", "text")}), es)
 
 
 ADDR = """a as (select c_custkey k, 'Ms. ' || chr(65 + (c_custkey % 26)::int) || 'ana ' || chr(65 + (c_custkey % 7)::int) || 'orn' nm, ' user' || c_custkey || '@' || case c_custkey % 3 when 0 then 'gmail.com' else 'example.org' end mail,
@@ -424,48 +451,17 @@ def rel_stacked_where_multi_hop(spark: SparkSession, folder: str) -> DataFrame:
     return calculate_feature_matrix([x.rename(n) for n, x in fs.items()], es)
 
 
-CUTS = "cut as (select distinct o_custkey id, o_orderdate t, o_orderpriority label from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) r from orders) where r % 5 = 2)"
-
-
 #: Every order of every customer is a cutoff.
-CUTS_ALL = "cut as (select distinct o_custkey id, o_orderdate t, o_orderpriority label from orders)"
+CUTS = "cut as (select distinct o_custkey id, o_orderdate t, o_orderpriority label from orders)"
 
 
 def cutoffs(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return _cutoffs_of(spark.read.parquet(f"{folder}/orders.parquet").withColumn("r", r).where("r % 5 = 2"))
-
-
-def cutoffs_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _cutoffs_of(spark.read.parquet(f"{folder}/orders.parquet"))
-
-
-def _cutoffs_of(orders: DataFrame) -> DataFrame:
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
     return orders.select(F.col("o_custkey").alias("instance_id"), F.col("o_orderdate").alias("time"), F.col("o_orderpriority").alias("label")).distinct()
 
 
-def cutoff_query(sql, rounds: dict[str, int] | None = None):
-    """Register a query twice: at the cutoffs of CUTS, and as ``..._all`` at those of CUTS_ALL. ``sql`` makes the SQL for either."""
-
-    def put(fn):
-        def at(name: str, made):
-            def run(spark: SparkSession, folder: str) -> DataFrame:
-                return fn(spark, folder, made(spark, folder))
-
-            run.__name__ = name
-            return run
-
-        query(sql(CUTS), rounds)(at(fn.__name__, cutoffs))
-        query(sql(CUTS_ALL), rounds)(at(f"{fn.__name__}_all", cutoffs_all))
-        return fn
-
-    return put
-
-
 def _asof(cond: str):
-    return lambda cuts: f"""with {cuts}, j as (select id, t, label, o.* from cut left join orders o on o_custkey = id and {cond})
+    return f"""with {CUTS}, j as (select id, t, label, o.* from cut left join orders o on o_custkey = id and {cond})
  select id c_custkey, t "time", label, count(o_orderkey) n, round(coalesce(sum(o_totalprice), 0), 2) total, max(o_totalprice) hi, round(median(o_totalprice), 3) med from j group by 1, 2, 3"""
 
 
@@ -474,44 +470,44 @@ def _cutoff_features(es):
     return feats(es, "orders", "customer", spec)
 
 
-@cutoff_query(_asof("o_orderdate <= t"), {"total": 2, "med": 3})
-def cutoff_table(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
+@query(_asof("o_orderdate <= t"), {"total": 2, "med": 3})
+def cutoff_table(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
-    return calculate_feature_matrix(_cutoff_features(es), es, cuts)
+    return calculate_feature_matrix(_cutoff_features(es), es, cutoffs(spark, folder))
 
 
-@cutoff_query(_asof("o_orderdate < t and o_orderdate >= t - interval 300 day"), {"total": 2, "med": 3})
-def cutoff_window_excluded(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
+@query(_asof("o_orderdate < t and o_orderdate >= t - interval 300 day"), {"total": 2, "med": 3})
+def cutoff_window_excluded(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
-    return calculate_feature_matrix(_cutoff_features(es), es, cuts, training_window="300 days", include_cutoff_time=False)
+    return calculate_feature_matrix(_cutoff_features(es), es, cutoffs(spark, folder), training_window="300 days", include_cutoff_time=False)
 
 
-@cutoff_query(_asof("o_orderdate <= t and o_orderdate > t - interval 300 day"), {"total": 2, "med": 3})
-def cutoff_window_included(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
+@query(_asof("o_orderdate <= t and o_orderdate > t - interval 300 day"), {"total": 2, "med": 3})
+def cutoff_window_included(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
-    return calculate_feature_matrix(_cutoff_features(es), es, cuts, training_window="300 days")
+    return calculate_feature_matrix(_cutoff_features(es), es, cutoffs(spark, folder), training_window="300 days")
 
 
-@cutoff_query(lambda cuts: f"""with {cuts}, j as (select id, t, o.*, row_number() over (partition by id, t, label order by o_orderdate desc, o_orderkey desc) r, label from cut left join orders o on o_custkey = id and o_orderdate <= t)
+@query(f"""with {CUTS}, j as (select id, t, o.*, row_number() over (partition by id, t, label order by o_orderdate desc, o_orderkey desc) r, label from cut left join orders o on o_custkey = id and o_orderdate <= t)
  select id c_custkey, t "time", label, coalesce(sum(case when r <= 3 then o_totalprice end), 0) last3, count(case when o_orderdate >= t - interval 1 year then o_orderkey end) last_year,
   count(case when o_orderdate >= t - interval 60 day and o_orderstatus = 'F' then o_orderkey end) recent_f from j group by 1, 2, 3""", {"last3": 2})
-def cutoff_use_previous(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
+def cutoff_use_previous(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
     key, price = IdentityFeature(es, "orders", "o_orderkey"), IdentityFeature(es, "orders", "o_totalprice")
     fs = [Agg([price], "customer", "sum", use_previous="3 observations").rename("last3"), Agg([key], "customer", "count", use_previous="1 year").rename("last_year"),
           Agg([key], "customer", "count", where=IdentityFeature(es, "orders", "o_orderstatus") == "F", use_previous="60 days").rename("recent_f")]
-    return calculate_feature_matrix(fs, es, cuts)
+    return calculate_feature_matrix(fs, es, cutoffs(spark, folder))
 
 
-@cutoff_query(lambda cuts: f"""with {cuts}, b as (select distinct id, t, label, time_bucket(interval 90 day, t, timestamp '1970-01-01') bt, c_nationkey nk from cut join customer on c_custkey = id),
+@query(f"""with {CUTS}, b as (select distinct id, t, label, time_bucket(interval 90 day, t, timestamp '1970-01-01') bt, c_nationkey nk from cut join customer on c_custkey = id),
  n as (select nk, bt, count(o_orderkey) no from (select distinct nk, bt from b) x left join customer c on c.c_nationkey = nk left join orders on o_custkey = c.c_custkey and o_orderdate <= bt group by 1, 2)
  select id c_custkey, t "time", label, n_exact, coalesce(no, 0) n_nation from b left join n using (nk, bt)
  left join (select id, t, count(o_orderkey) n_exact from (select distinct id, t from cut) left join orders on o_custkey = id and o_orderdate <= t group by 1, 2) using (id, t)""")
-def cutoff_approximate(spark: SparkSession, folder: str, cuts: DataFrame) -> DataFrame:
+def cutoff_approximate(spark: SparkSession, folder: str) -> DataFrame:
     es = star(spark, folder)
     key = IdentityFeature(es, "orders", "o_orderkey")
     fs = [Agg([key], "customer", "count").rename("n_exact"), DirectFeature(Agg([key], "nation", "count"), "customer").rename("n_nation")]
-    return calculate_feature_matrix(fs, es, cuts, approximate="90 days")
+    return calculate_feature_matrix(fs, es, cutoffs(spark, folder), approximate="90 days")
 
 
 @query(f"""with {ITEMS} select o_orderkey, greatest(o_orderdate, m) last_time from orders left join (select l_orderkey, max(l_shipdate) m from li group by 1) on l_orderkey = o_orderkey""")

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators.asof import asof_attributes
 from tallyloom.operators.bitslice import batch_tables, carry_add, entity_features, numbers_of
 from tallyloom.operators.heavy import heavy_keys
-from tallyloom.operators.multiselect import build_runs, select_percentiles, weighted_medians
 from tallyloom.operators.rolling import TwoStackWindow, rolling_totals
 from tallyloom.operators.tree_aggregate import tree_aggregate
-from tallyloom.session import materialize
 from tallyloom.sources.activity import cents, latest_rows
 
 DAY0 = dt.datetime(2024, 1, 1)
@@ -81,7 +79,7 @@ def test_entity_features(spark):
         rows.append((e, rng.choice([None, 1, 2, 300]), rng.choice([None, rng.randrange(-900, 900)]), rng.choice([None, stamp(rng.randrange(9999))])))
     df = spark.createDataFrame(rows, "e long, k long, v long, t timestamp_ntz").withColumn("block", F.lit("x"))
     got = {}
-    for r in entity_features(df, F.col("e"), F.col("k"), F.col("v"), F.col("t"), batch_rows=300).collect():
+    for r in entity_features(df, F.col("e"), F.col("k"), F.col("v"), F.col("t"), batch_rows=300, fan_in=2, block_rows=80).collect():
         assert list(r["types"]) == sorted(r["types"])
         for k, n, s, t in zip(r["types"], r["counts"], r["totals"], r["latest"]):
             got[r["entity_id"], k] = (n, s, t)
@@ -104,7 +102,7 @@ def _asof_brute(events, versions):
 @pytest.mark.parametrize("slice_rows", [10, 100_000])
 def test_asof_attributes(spark, slice_rows):
     rng = random.Random(4)
-    events = [(i, 1 if rng.random() < 0.4 else rng.choice([None, 2, 3, 99]), rng.choice([None, *map(stamp, range(40))])) for i in range(800)]
+    events = [(i, 1 if rng.random() < 0.3 else rng.choice([None, 2, 3, 99]), rng.choice([None, *map(stamp, range(40))])) for i in range(800)]
     versions = [(v, rng.choice([1, 1, 2, None]), rng.choice([None, *map(stamp, range(45))]), rng.choice([None, *map(stamp, range(45))])) for v in range(90)]
     versions += versions[:10]
     ev = spark.createDataFrame(events, "id long, who long, at timestamp_ntz").withColumn("effective_from", F.lit("mine"))
@@ -120,32 +118,30 @@ def test_asof_attributes(spark, slice_rows):
         asof_attributes(ev, ve, "who", "at", "who", "effective_from", "known_at", "version_id", into="id")
 
 
-def test_heavy_keys_are_bounded(spark):
-    df = spark.range(1000).selectExpr("case when id < 400 then 1 when id < 500 then null else id end k")
-    h = heavy_keys(df, "k", 10, 5)
-    assert h.counts == {1: 400} and h.limit == 200
+def test_one_block_of_many_partials_merges_in_rounds(spark):
+    """One block of 4,096 entities, met by every batch: counts stay right over three rounds of merging."""
+    df = spark.range(0, 200_000, 1, 8).selectExpr("id % 4096 as e", "id % 3 as k", "id % 7 - 3 as v", "cast(null as timestamp_ntz) as t")
+    out = entity_features(df, F.col("e"), F.col("k"), F.col("v"), F.col("t"), batch_rows=1_000, fan_in=4, block_rows=1)
+    got = {(r["entity_id"], k): (n, s) for r in out.collect() for k, n, s in zip(r["types"], r["counts"], r["totals"])}
+    assert got == {(r["e"], r["k"]): (r["n"], r["s"]) for r in df.groupBy("e", "k").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
 
 
-@pytest.mark.parametrize("run_rows", [16, 100_000])
-def test_percentiles_are_exact_and_mergeable(spark, run_rows):
-    rng = random.Random(5)
-    rows = [(i, 1 if rng.random() < 0.5 else rng.choice([None, 2, 3, 4]), rng.choice([None, 5, rng.randrange(-40, 40), rng.randrange(10**9)])) for i in range(2500)]
-    rows.append((9999, 50, -(2**62)))
-    df = spark.createDataFrame(rows, "id long, g long, v long").withColumn("run", F.lit("x"))
-    days = [build_runs(df.where(f"id % 2 = {k}"), "g", "v", "id", run_rows=run_rows) for k in (0, 1)]
-    for runs in (build_runs(df, "g", "v", "id", run_rows=run_rows), days[0].unionByName(days[1].withColumn("run", F.col("run") + 1000))):
-        got = {r["group_id"]: tuple(r)[1:] for r in select_percentiles(materialize(runs), (50, 90, 99)).collect()}
-        want = defaultdict(list)
-        for _, g, v in rows:
-            if g is not None and v is not None:
-                want[g].append(v)
-        assert got == {g: (len(v), *(sorted(v)[-(-p * len(v) // 100) - 1] for p in (50, 90, 99))) for g, v in want.items()}
-    assert select_percentiles(materialize(build_runs(df.limit(0), "g", "v", "id")), (50,)).count() == 0
+def test_entity_with_most_versions_is_cut_into_slices(spark):
+    """Nine in ten versions are of an entity with few events: it is found by them, and no slice holds them all."""
+    rng = random.Random(8)
+    versions = [(v, 1 if rng.random() < 0.9 else 2, stamp(rng.randrange(2000)), stamp(rng.randrange(2000))) for v in range(1500)]
+    events = [(i, rng.choice([1, 2]), stamp(rng.randrange(2000))) for i in range(40)]
+    ev = spark.createDataFrame(events, "id long, who long, at timestamp_ntz")
+    ve = spark.createDataFrame(versions, "version_id long, who long, effective_from timestamp_ntz, known_at timestamp_ntz")
+    out = asof_attributes(ev, ve, "who", "at", "who", "effective_from", "known_at", "version_id", slice_rows=100)
+    assert {r["id"]: r["version"] and r["version"]["version_id"] for r in out.collect()} == _asof_brute(events, versions)
+    assert "__slice" in out._jdf.queryExecution().analyzed().toString()
 
 
-def test_weighted_medians():
-    keys, got = weighted_medians(np.array([1, 1, 1, 2]), np.array([10, 20, 30, 4]), np.array([1, 1, 5, 3]))
-    assert keys.tolist() == [1, 2] and got.tolist() == [30, 4]
+def test_heavy_keys_are_bounded(spark):
+    df = spark.range(1000).selectExpr("case when id < 400 then 1 when id < 500 then null else id end k")
+    h = heavy_keys(df, "k", 10, 5)
+    assert h.counts == {1: 400} and h.limit == 200
 
 
 def test_two_stack_window_without_inverse():
@@ -166,9 +162,13 @@ def test_rolling_totals(spark):
     assert set(got) == {(e, d) for e in (1, 2, 9) for d in range(60)}
     for (e, d), (s7, s30, m7) in got.items():
         v = lambda w: [daily[e, x] for x in range(max(0, d - w + 1), d + 1) if (e, x) in daily]
-        assert (s7, s30) == (sum(v(7)), sum(v(30))) and m7 == max(v(7), default=np.iinfo(np.int64).min)
+        assert (s7, s30) == (sum(v(7)), sum(v(30))) and m7 == max(v(7), default=None)
     few = rolling_totals(df, ids, DAY0.date(), (DAY0 + dt.timedelta(days=59)).date(), (7,), {"s": "sum"}, keep=lambda d, first, c: (d >= first + 5) & (c["s_7"] > 20))
     for r in few.collect():
         first = min(d for e, d in daily if e == r["entity"] and 0 <= d < 60)
         assert r["day"] >= first + 5 and r["s_7"] > 20
+    holes = spark.createDataFrame([(1, 0, None), (1, 1, 5), (1, 3, None)], "entity long, day int, m long")
+    end = (DAY0 + dt.timedelta(days=3)).date()
+    least = rolling_totals(holes, ids.where("entity = 1"), DAY0.date(), end, (2,), {"m": "min"})
+    assert [r["m_2"] for r in least.orderBy("day").collect()] == [None, 5, 5, None]
     assert rolling_totals(df.limit(0), ids.limit(0), DAY0.date(), DAY0.date(), (7,), {"s": "sum"}).count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.entityset import EntitySet
 from tallyloom.features import AggregationFeature, GroupByTransformFeature, IdentityFeature, TransformFeature
 from tallyloom.functions import scalars, windows
+from tallyloom.functions.wordlists import common_words, names
 from tallyloom.functions.base import AGGREGATIONS, TRANSFORMS, lookup
 from tallyloom.plans import planner  # noqa: F401
 from tallyloom.plans.executor import calculate_feature_matrix
@@ -131,14 +132,19 @@ def test_savgol_follows_polynomials():
     assert len(windows.savgol(y, 7, 2, mode="nearest")) == 40
 
 
-TEXTS = ["", " ", "Hello, World! It's HE #tag @you", None, "a\tb\nc  d", '"one two" said \'x y\'', "#été ## @a@b", "UPPER lower UPPER", "...!!! ,", "word-word \\ back", "The the THE end."]
+TEXTS = ["", " ", "End.\r\n", "a.\n", "²x m² #² #²x @µ_! 'a' \"b\u2003c d\" #a\u0301", "he said 'no " + "word " * 30_000 + "' end", "Hello, World! It's HE #tag @you", None, "a\tb\nc  d", '"one two" said \'x y\'', "#été ## @a@b", "UPPER lower UPPER", "...!!! ,", "word-word \\ back", "The the THE end."]
 PUNCT = string.punctuation
 TEXT_CASES = {
     "num_words": lambda t: sum(1 for w in re.split("[ \n\t]", t) if w.strip(PUNCT)), "num_characters": len, "punctuation_count": lambda t: sum(c in PUNCT for c in t),
     "title_word_count": lambda t: len(re.findall(r"([A-Z][^\s]*)", t)), "upper_case_count": lambda t: len(re.findall("[A-Z]", t)), "whitespace_count": lambda t: t.count(" "),
     "number_of_unique_words": lambda t: len({w.strip(PUNCT) for w in t.split() if w.strip(PUNCT)}), "number_of_hashtags": lambda t: len(re.findall(r"((^#)|\s#)(\w*([^\W\d])+\w*)(?![#\w])", t)),
     "upper_case_word_count": lambda t: sum(1 for w in re.split("[ \n\t]", t) if w.strip(PUNCT) and w.upper() == w),
-    "number_of_common_words": lambda t: sum(w.lower().strip(PUNCT) in set(scalars.COMMON) for w in re.split("[ \n\t]", t)),
+    "number_of_common_words": lambda t: sum(w.lower().strip(PUNCT) in common_words() for w in re.split("[ \n\t]", t)),
+    "number_of_mentions": lambda t: len(re.findall(r"((^@)|(\s+@))(\w+)(?=\s|$|[" + re.escape(PUNCT.replace("@", "")) + "])", t)),
+    "number_of_words_in_quotes": lambda t: sum(
+        bool(w.strip(PUNCT + " ")) for m in re.finditer(r"(((^|\W)'(.)*?'(?!\w))|((^|\W)\"(.)*?\"(?!\w)))", t, re.DOTALL) for w in re.split("[ \n\t]", m[0])),
+    "mean_characters_per_word": lambda t: float(np.mean([len(w) for w in re.sub(r"[!,.:;?]+$|[!,.:;?]+ |[!,.:;?]+\n", " ", t).split()] or [0])),
+    "total_word_length": lambda t: sum(c not in PUNCT.replace("\\", "") + "\n\t " for c in t),
     "median_word_length": lambda t: float(np.median([len(w) for w in re.split("[ \n\t]", t) if w])) if any(re.split("[ \n\t]", t)) else None,
 }
 
@@ -148,7 +154,16 @@ def test_text(spark, name):
     es = EntitySet("t").add_dataframe(spark.createDataFrame(list(enumerate(TEXTS)), "id long, s string"), "d", "id", logical_types={"s": "NaturalLanguage"})
     got = {r["id"]: r["f"] for r in calculate_feature_matrix([TransformFeature([IdentityFeature(es, "d", "s")], name).rename("f")], es).collect()}
     for i, t in enumerate(TEXTS):
-        assert got[i] == (None if t is None else TEXT_CASES[name](t)), (name, t)
+        assert got[i] == (None if t is None else pytest.approx(TEXT_CASES[name](t))), (name, t[:50])
+
+
+def test_lists_of_names(tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("// a comment\n.Com\n\nco.uk\n")
+    assert names(str(path)) == ["com", "co.uk"] and names(["A"]) == ["A"]
+    with pytest.raises(FileNotFoundError):
+        common_words(str(tmp_path))
+    assert {"the", "of", "people"} <= common_words() and len(common_words(most=10)) == 10
 
 
 def test_names_urls_and_places(spark):
@@ -166,6 +181,7 @@ def test_names_urls_and_places(spark):
     u = [F.col("u")]
     assert [r[0] for r in urls.select(TRANSFORMS["url_to_tld"]().column(u, None)).collect()] == ["com", "in", "com", None, None]
     assert [r[0] for r in urls.select(TRANSFORMS["url_to_tld"](tlds=["com", "co", "in"]).column(u, None)).collect()] == ["com", "in", "com", None, None]
+    assert [r[0] for r in urls.select(TRANSFORMS["url_to_tld"](tlds=["com", "co.in", "in"]).column(u, None)).collect()] == ["com", "co.in", "com", None, None]
 
 
 def test_holidays(spark):

@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["text_words", "text_counts_all"])
+@pytest.mark.parametrize("name", ["text_words", "text_counts", "text_quotes"])
 def test_every_document_has_a_row(spark, name):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert docs.where("text is not null and (lang is null or lang not in ('en', 'EN'))").count() > 0
@@ -20,7 +20,7 @@ def test_every_document_has_a_row(spark, name):
     assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
 
 
-@pytest.mark.parametrize("name", ["cutoff_table_all", "cutoff_window_excluded_all", "cutoff_window_included_all", "cutoff_use_previous_all", "cutoff_approximate_all"])
+@pytest.mark.parametrize("name", ["cutoff_table", "cutoff_window_excluded", "cutoff_window_included", "cutoff_use_previous", "cutoff_approximate"])
 def test_every_order_is_a_cutoff(spark, name):
     orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
     want = {(r["o_custkey"], r["o_orderdate"], r["o_orderpriority"]) for r in orders.collect()}
