@@ -347,6 +347,8 @@ def _texts(spark: SparkSession, folder: str) -> EntitySet:
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _W, _NW, _WL = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_#]", r"[\p{L}\p{Nl}\p{No}_]"
 _P = r"""!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Letters whose upper case is two letters; the SQL's upper() leaves them.
+_SPECIAL = r"[\x{df}\x{149}\x{1f0}\x{390}\x{3b0}\x{587}\x{1e96}-\x{1e9a}\x{fb00}-\x{fb06}\x{fb13}-\x{fb17}]"
 _NO_AT = r"""[!-/:-?\[-`{-~]"""
 
 
@@ -358,7 +360,7 @@ def _words_sql(known) -> str:
   len(list_filter(b, lambda x: regexp_matches(x, '^#{_W}*{_WL}{_W}*($|{_NW})'))) hashtags, len(list_filter(b, lambda x: regexp_matches(x, '^@{_W}+($|{_NO_AT})'))) mentions,
   len(list_distinct(list_filter(list_transform(b, lambda x: trim(x, '{_P}')), lambda x: x <> ''))) distinct_words,
   len(regexp_extract_all(text, '[A-Z][^{_BLANK[1:]}*')) title_words, length(text) - len(regexp_extract_all(text, '[!-/:-@\[\]^_`{{-~\n\t ]')) word_length,
-  len(list_filter(w, lambda x: trim(x, '{_P}') <> '' and upper(x) = x)) upper_words from p"""
+  len(list_filter(w, lambda x: trim(x, '{_P}') <> '' and upper(x) = x and not regexp_matches(x, '{_SPECIAL}'))) upper_words from p"""
 
 
 TITLES = {"mean_length": "mean_characters_per_word", "median_length": "median_word_length", "common": "number_of_common_words", "hashtags": "number_of_hashtags", "mentions": "number_of_mentions",

@@ -3,10 +3,8 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyloom.llm.mixture import source_key
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -26,15 +24,3 @@ def test_every_order_is_a_cutoff(spark, name):
     want = {(r["o_custkey"], r["o_orderdate"], r["o_orderpriority"]) for r in orders.collect()}
     got = [tuple(r) for r in entry.queries()[name](spark, FOLDER).select("c_custkey", "time", "label").collect()]
     assert len(got) == len(want) and set(got) == want
-
-
-def test_mixture_has_every_document(spark):
-    got = entry.queries()["p7_mixture"](spark, FOLDER)
-    assert got.columns == ["doc_id", "source", "n_tokens", "rate", "copies"]
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    listed = {r[0] for r in spark.read.parquet(f"{FOLDER}/source_targets.parquet").where("source is not null").select(source_key(F.col("source"))).collect()}
-    rows = got.collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
-    assert all(r["rate"] == 0 and r["copies"] == 0 for r in rows if r["source"] not in listed)
-    shares = entry.queries()["p7_shares"](spark, FOLDER).collect()
-    assert sum(r["copies"] for r in rows) == sum(r["copies"] for r in shares) > 0
