@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from copy import deepcopy
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tallyloom.session import materialize
 from tallyloom.types import Schema, column_schema, infer
 
 LTI = "_last_time"
@@ -53,16 +55,21 @@ class Table:
 
 
 def dense_index(df: DataFrame, name: str) -> DataFrame:
-    """Add a column 0..n-1 without bringing rows together: counts per partition give the offsets."""
-    marked = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = marked.groupBy("__p").count().orderBy("__p").collect()  # one row per partition
-    offset, at = {}, 0
-    for r in counts:
-        offset[r[0]] = at
-        at += r[1]
-    side = df.sparkSession.createDataFrame(list(offset.items()) or [(0, 0)], "__p int, __o long")
-    low = F.expr("__m & ((1L << 33) - 1L)")
-    return marked.join(F.broadcast(side), "__p").select((low + F.col("__o")).alias(name), *[q(c) for c in df.columns])
+    """Add a column 0..n-1 without bringing rows together.
+
+    The rows are written first; a row's number is its place in its file after those of
+    the files before, so numbers stay the same however often or with whatever
+    partitioning the table is read.
+    """
+    kept = materialize(df, "indexed")
+    marked = kept.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = marked.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).orderBy("__file").collect()  # one row per file
+    starts, at = [], 0
+    for r in files:
+        starts.append((r[0], at))
+        at += r["n"]
+    side = df.sparkSession.createDataFrame(starts or [("", 0)], "__file string, __start long")
+    return marked.join(F.broadcast(side), "__file").select((F.col("__row") + F.col("__start")).alias(name), *[q(c) for c in df.columns])
 
 
 class EntitySet:
@@ -82,6 +89,22 @@ class EntitySet:
             raise KeyError(f"{name} does not exist in {self.id}")
         return self.tables[name]
 
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        """A new table whose index is its first column, or new rows of a known one."""
+        if name in self.tables:
+            self.replace_dataframe(name, df)
+        else:
+            self.add_dataframe(df, name)
+
+    def __deepcopy__(self, memo) -> EntitySet:
+        """Own metadata over the same rows: DataFrames never change."""
+        out = EntitySet(self.id)
+        out.relationships = list(self.relationships)
+        for n, t in self.tables.items():
+            copied = {k: deepcopy(getattr(t, k), memo) for k in ("schemas", "secondary", "interesting", "orders")}
+            out.tables[n] = Table(t.name, t.df, t.index, t.time_index, last_times=t.last_times, **copied)
+        return out
+
     def __contains__(self, name: str) -> bool:
         return name in self.tables
 
@@ -325,22 +348,27 @@ class EntitySet:
             self[dataframe_name].interesting.update({c: list(v) for c, v in values.items()})
             return
         for t in [self[dataframe_name]] if dataframe_name else self.tables.values():
-            for c, s in t.schemas.items():
-                if "category" not in s.tags or s.tags & {"index", "foreign_key"}:
-                    continue
-                rows = t.df.where(q(c).isNotNull()).groupBy(q(c).alias("v")).count().orderBy(F.desc("count"), "v").limit(25).collect()
-                if not rows:
-                    continue
-                if len(rows) < 25:
-                    t.interesting[c] = [r["v"] for r in rows[:max_values]]
-                    continue
-                total, picked = t.df.count(), []
+            cols = [c for c, s in t.schemas.items() if "category" in s.tags and not s.tags & {"index", "foreign_key"}]
+            if not cols:
+                continue
+            kinds = dict(t.df.dtypes)
+            pairs = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+            counts = t.df.select(F.inline(pairs)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+            best = Window.partitionBy("i").orderBy(F.col("v").isNull(), F.desc("n"), "v")
+            all_rows = F.sum("n").over(Window.partitionBy("i"))
+            top = counts.select("i", "v", "n", all_rows.alias("rows"), F.row_number().over(best).alias("r")).where("r <= 25 and v is not null")
+            typed = [F.col("v").cast(kinds[c]).alias(f"v{i}") for i, c in enumerate(cols)]
+            found: dict[int, list] = {}
+            for r in top.select("i", "n", "rows", *typed).orderBy("i", "r").collect():  # at most 25 rows per column
+                found.setdefault(r["i"], []).append(r)
+            for i, rows in found.items():
+                picked = []
                 for r in rows[:max_values]:
-                    if not 0.05 < r["count"] / total < 0.95:
+                    if len(rows) >= 25 and not 0.05 < r["n"] / r["rows"] < 0.95:
                         break
-                    picked.append(r["v"])
+                    picked.append(r[f"v{i}"])
                 if picked:
-                    t.interesting[c] = picked
+                    t.interesting[cols[i]] = picked
 
     def query_by_values(
         self, dataframe_name: str, instance_vals: DataFrame | list | None = None, column_name: str | None = None,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date, datetime
 
 from tallyloom.entityset import EntitySet, Relationship
 from tallyloom.functions.base import AggregationPrimitive, Primitive, lookup
@@ -300,6 +301,32 @@ def root_primitive(f: Feature) -> Primitive | None:
 VERSION = "1"
 
 
+def told(v):
+    """A parameter as JSON can hold it; sets, times and spans are marked so that ``retold`` gives them back."""
+    if isinstance(v, (set, frozenset)):
+        return {"set": sorted((told(x) for x in v), key=str)}
+    if isinstance(v, (datetime, date)):
+        return {"datetime" if isinstance(v, datetime) else "date": v.isoformat()}
+    if isinstance(v, Timedelta):
+        return {"span": v.to_dict()}
+    if isinstance(v, (list, tuple)):
+        return [told(x) for x in v] if isinstance(v, list) else {"tuple": [told(x) for x in v]}
+    if v is None or isinstance(v, (bool, int, float, str)):
+        return v
+    if hasattr(v, "item"):
+        return v.item()
+    raise TypeError(f"a parameter {v!r} cannot be saved")
+
+
+def retold(v):
+    if isinstance(v, list):
+        return [retold(x) for x in v]
+    if not isinstance(v, dict):
+        return v
+    ((kind, x),) = v.items()
+    return {"set": lambda: frozenset(map(retold, x)), "tuple": lambda: tuple(map(retold, x)), "datetime": lambda: datetime.fromisoformat(x), "date": lambda: date.fromisoformat(x), "span": lambda: Timedelta(**x)}[kind]()
+
+
 def save_features(features: list[Feature], location: str | None = None) -> str | None:
     """The graph of definitions as JSON text, or written to a file."""
     nodes: dict[str, dict] = {}
@@ -322,12 +349,12 @@ def save_features(features: list[Feature], location: str | None = None) -> str |
         if isinstance(f, GroupByTransformFeature):
             d["groupby"] = add(f.groupby)
         if f.primitive is not None and not isinstance(f, FeatureOutputSlice):
-            d["primitive"] = {"name": f.primitive.name, "args": f.primitive.given}
+            d["primitive"] = {"name": f.primitive.name, "args": {k: told(v) for k, v in f.primitive.given.items()}}
         nodes[key] = d
         return key
 
     tops = [add(f) for f in features]
-    text = json.dumps({"version": VERSION, "features": tops, "definitions": nodes}, default=str)
+    text = json.dumps({"version": VERSION, "features": tops, "definitions": nodes})
     if location is None:
         return text
     with open(location, "w", encoding="utf-8") as out:
@@ -356,7 +383,7 @@ def load_features(source: str, es: EntitySet) -> list[Feature]:
         kind = d["kind"]
         if "primitive" in d:
             p = d["primitive"]
-            base = lookup(p["name"], "aggregation" if kind == "AggregationFeature" else "transform").__class__(**p["args"])
+            base = lookup(p["name"], "aggregation" if kind == "AggregationFeature" else "transform").__class__(**{k: retold(v) for k, v in p["args"].items()})
         if kind == "IdentityFeature":
             f: Feature = IdentityFeature(es, d["table"], d["column"])
         elif kind == "DirectFeature":

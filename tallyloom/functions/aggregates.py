@@ -158,11 +158,14 @@ aggregation("CountAboveMean", [NUM], R_INT, lambda p, v, x: F.when(F.max(x.col("
             stats=lambda p, v: {"m": unless_null(v[0], p.skipna, F.avg(v[0]))}, **_skip, **no_self)
 aggregation("CountBelowMean", [NUM], R_INT, lambda p, v, x: F.when(F.max(x.col("m")).isNotNull(), F.count_if(v[0] < x.col("m"))),
             stats=lambda p, v: {"m": unless_null(v[0], p.skipna, F.avg(v[0]))}, **_skip, **no_self)
-#: A value on the edge is inside, however the deviation was summed up.
-EDGE = 1 + 1e-9
-_spread = {"stats": lambda p, v: {"m": F.avg(v[0]), "s": F.stddev_pop(v[0])}, "params": {"n": 1}, "default": 0, **no_self}
-aggregation("CountInsideNthSTD", [NUM], R_INT, lambda p, v, x: F.count_if(F.abs(v[0] - x.col("m")) <= x.col("s") * p.n * EDGE), name="count_inside_nth_std", **_spread)
-aggregation("CountOutsideNthSTD", [NUM], R_INT, lambda p, v, x: F.count_if(F.abs(v[0] - x.col("m")) > x.col("s") * p.n * EDGE), name="count_outside_nth_std", **_spread)
+# the deviation is that from the mean as it was rounded, so a value on the edge is as far from it as the deviation says
+_spread = {
+    "stats": lambda p, v: {"m": F.avg(v[0])},
+    "more_stats": lambda p, v, x: {"s": F.sqrt(F.avg((v[0] - x.col("m")) * (v[0] - x.col("m"))))},
+    "params": {"n": 1}, "default": 0, **no_self,
+}
+aggregation("CountInsideNthSTD", [NUM], R_INT, lambda p, v, x: F.count_if(F.abs(v[0] - x.col("m")) <= x.col("s") * p.n), name="count_inside_nth_std", **_spread)
+aggregation("CountOutsideNthSTD", [NUM], R_INT, lambda p, v, x: F.count_if(F.abs(v[0] - x.col("m")) > x.col("s") * p.n), name="count_outside_nth_std", **_spread)
 aggregation("MaxCount", [NUM], R_NUM, lambda p, v, x: F.when(F.max(x.col("m")).isNotNull(), F.count_if(v[0] == x.col("m"))),
             stats=lambda p, v: {"m": unless_null(v[0], p.skipna, F.max(v[0]))}, **_skip)
 aggregation("MinCount", [NUM], R_INT, lambda p, v, x: F.when(F.max(x.col("m")).isNotNull(), F.count_if(v[0] == x.col("m"))),

@@ -158,6 +158,7 @@ class TransformPrimitive(Primitive):
     kind = "column"
     full = False
     ordered = False
+    looks_back = False  # a row's value depends on no later row
 
     def feature_name(self, bases: list[str]) -> str:
         return f"{self.name.upper()}({', '.join(bases)}{self.args_string()})"

@@ -119,7 +119,15 @@ transform("IsWorkingHours", [TIME], R_BOOL, lambda p, v, x: F.hour(v[0]).between
 transform("NthWeekOfMonth", [TIME], R_DOUBLE, lambda p, v, x: d(_nth_week(v[0])))
 transform("TimeSince", [TIME], R_NUM, lambda p, v, x: in_unit(seconds_between(x.cutoff, v[0]), p.unit), params={"unit": "seconds"}, uses_calc_time=True)
 transform("Age", [template("Datetime", "date_of_birth")], column_schema("AgeFractional"), lambda p, v, x: F.floor(seconds_between(x.cutoff, v[0]) / 86400) / F.lit(365.0), uses_calc_time=True)
-transform("DateToTimeZone", [TIME], R_CAT, lambda p, v, x: F.when(v[0].isNotNull(), F.lit(p.zone)), params={"zone": None})
+
+
+def _time_zone(p, v, x):
+    """The zone that a timestamp is read in: that of the session, or the given one; a timestamp without zone has none unless one is given."""
+    own = F.when(F.typeof(v[0]) == "timestamp", F.current_timezone()) if p.zone is None else F.lit(p.zone)
+    return F.when(v[0].isNotNull(), own)
+
+
+transform("DateToTimeZone", [TIME], R_CAT, _time_zone, params={"zone": None})
 
 
 def _part_of_day(p, v, x):

@@ -14,7 +14,7 @@ from tallyloom.functions.base import (
 from tallyloom.timedelta import SECONDS, Timedelta
 from tallyloom.types import column_schema
 
-full = {"full": True}
+full = {"full": True, "looks_back": True}
 ordered = {"ordered": True}
 
 
@@ -78,7 +78,7 @@ def _percentile(p, v, x):
     return kept(v[0], (F.rank().over(by) + (F.count(F.lit(1)).over(same) - 1) / 2) / n)
 
 
-transform("Percentile", [NUM], R_NUM, _percentile, **full)
+transform("Percentile", [NUM], R_NUM, _percentile, full=True)
 
 
 # rolling: windows of rows, or of time with open left end

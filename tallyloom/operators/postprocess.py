@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,11 +79,16 @@ def _checked(matrix: DataFrame) -> list[T.StructField]:
     return [f for f in matrix.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
+def _spans(matrix: DataFrame, cols: list[T.StructField]) -> list[tuple[bool, bool, bool]]:
+    """Of each column: whether it has a value, two different ones, a null. Least and greatest say so: one aggregation, nothing to shuffle."""
+    row = matrix.agg(*[x for i, f in enumerate(cols) for x in (F.min(q(f.name)).alias(f"l{i}"), F.max(q(f.name)).alias(f"h{i}"), F.count_if(q(f.name).isNull()).alias(f"n{i}"))]).first()
+    return [(row[f"l{i}"] is not None, row[f"l{i}"] != row[f"h{i}"], bool(row[f"n{i}"])) for i in range(len(cols))]
+
+
 def remove_low_information_features(matrix: DataFrame, features: list[Feature] | None = None):
     """Drop columns that have one value, null being a value, or only nulls; one aggregation for all."""
     cols = _checked(matrix)
-    row = matrix.agg(*[F.count_distinct(q(f.name)).alias(f"d{i}") for i, f in enumerate(cols)], *[F.count_if(q(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(cols)]).first()
-    gone = [f.name for i, f in enumerate(cols) if row[f"d{i}"] + (row[f"n{i}"] > 0) < 2 or row[f"d{i}"] == 0]
+    gone = [f.name for f, (some, two, null) in zip(cols, _spans(matrix, cols)) if not (two or some and null)]
     return _only(matrix, gone, features)
 
 
@@ -98,19 +105,19 @@ def remove_highly_null_features(matrix: DataFrame, features: list[Feature] | Non
 def remove_single_value_features(matrix: DataFrame, features: list[Feature] | None = None, count_nan_as_value: bool = False):
     """Drop columns with at most one value."""
     cols = _checked(matrix)
-    row = matrix.agg(*[F.count_distinct(q(f.name)).alias(f"d{i}") for i, f in enumerate(cols)], *[F.count_if(q(f.name).isNull()).alias(f"n{i}") for i, f in enumerate(cols)]).first()
-    gone = [f.name for i, f in enumerate(cols) if row[f"d{i}"] + (count_nan_as_value and row[f"n{i}"] > 0) <= 1]
+    gone = [f.name for f, (some, two, null) in zip(cols, _spans(matrix, cols)) if not (two or some and null and count_nan_as_value)]
     return _only(matrix, gone, features)
 
 
 def remove_highly_correlated_features(
     matrix: DataFrame, features: list[Feature] | None = None, pct_corr_threshold: float = 0.95, features_to_check: list[str] | None = None,
-    features_to_keep: list[str] | None = None, pairs_per_pass: int = 500,
+    features_to_keep: list[str] | None = None,
 ):
     """Drop the later of two numeric or boolean columns whose correlation is at least the threshold.
 
-    Correlations of a pair skip rows where either is null. Pairs are aggregated a few
-    hundred at a time, each pass being one map-side combined aggregation.
+    Correlations of a pair skip rows where either is null. The matrix is read twice,
+    once for a shift of each column that keeps the sums small, once for the sums of all
+    pairs, which are gathered by blocks of columns within each partition.
     """
     if not 0 <= pct_corr_threshold <= 1:
         raise ValueError("pct_corr_threshold must be a float between 0 and 1, inclusive.")
@@ -122,13 +129,7 @@ def remove_highly_correlated_features(
         f.name for f in matrix.schema.fields
         if isinstance(f.dataType, (T.NumericType, T.BooleanType)) and (features_to_check is None or f.name in features_to_check)
     ]
-    number = lambda c: q(c).cast("int").cast("double") if isinstance(matrix.schema[c].dataType, T.BooleanType) else q(c).cast("double")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :] if b not in keep]
-    found: dict = {}
-    for at in range(0, len(pairs), pairs_per_pass):
-        some = pairs[at : at + pairs_per_pass]
-        row = matrix.agg(*[F.corr(F.when(q(b).isNotNull(), number(a)), F.when(q(a).isNotNull(), number(b))).alias(f"r{i}") for i, (a, b) in enumerate(some)]).first()
-        found.update({p: row[f"r{i}"] for i, p in enumerate(some)})
+    found = _correlations(matrix, cols)
     gone: list[str] = []
     for j in range(len(cols) - 1, 0, -1):
         b = cols[j]
@@ -137,6 +138,40 @@ def remove_highly_correlated_features(
     return _only(matrix, gone, features)
 
 
+def _correlations(matrix: DataFrame, cols: list[str]) -> dict[tuple[str, str], float]:
+    """Correlation of every pair of columns over the rows where both are known."""
+    if len(cols) < 2:
+        return {}
+    number = [(q(c).cast("int") if isinstance(matrix.schema[c].dataType, T.BooleanType) else q(c)).cast("double") for c in cols]
+    row = matrix.agg(*[F.avg(F.when(F.abs(x) < float("inf"), x)).alias(f"m{i}") for i, x in enumerate(number)]).first()
+    shift, m = np.array([row[i] or 0.0 for i in range(len(cols))]), len(cols)
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4_096):
+                part = batch.slice(at, 4_096)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float) - shift
+                known = np.isfinite(x)
+                x, k = np.where(known, x, 0.0), known.astype(float)
+                now = np.stack([k.T @ k, x.T @ k, (x * x).T @ k, x.T @ x])
+                total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(4)), pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), m * m).cast(pa.list_(pa.float64()))], ["part", "vals"])
+
+    got = matrix.select(*[x.alias(f"c{i}") for i, x in enumerate(number)]).mapInArrow(sums, "part long, vals array<double>")
+    cells = got.select("part", F.posexplode("vals")).groupBy("part", "pos").agg(F.sum("col").alias("v")).toArrow()  # 4 numbers per pair of columns
+    n, sx, sxx, sxy = np.zeros((4, m, m))
+    for k, out in enumerate((n, sx, sxx, sxy)):
+        use = cells["part"].to_numpy() == k
+        out.ravel()[cells["pos"].to_numpy()[use]] = cells["v"].to_numpy()[use]
+    with np.errstate(all="ignore"):
+        var = n * sxx - sx * sx  # of the row's column where the other is known
+        var = np.where(var > 1e-12 * n * sxx, var, 0.0)
+        r = (n * sxy - sx * sx.T) / np.sqrt(var * var.T)
+    return {(a, b): float(r[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j}
+
+
 def replace_inf_values(matrix: DataFrame, replacement_value=None, columns: list[str] | None = None) -> DataFrame:
     """Infinities become ``replacement_value`` (null by default)."""
     floats = [f.name for f in matrix.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (columns is None or f.name in columns)]

@@ -7,6 +7,7 @@ import json
 from dataclasses import dataclass, field
 from itertools import combinations, permutations
 
+from tallyloom.features import retold, told
 from tallyloom.functions.base import TRANSFORMS, Primitive, TransformPrimitive, lookup
 from tallyloom.types import Schema, column_schema
 
@@ -40,13 +41,13 @@ class LiteFeature:
     def to_dict(self) -> dict:
         return {
             "name": self.name, "alias": self.alias, "logical": self.schema.logical, "tags": sorted(self.schema.tags), "output": self.output,
-            "primitive": self.primitive and {"name": self.primitive.name, "args": self.primitive.given}, "bases": [b.to_dict() for b in self.bases],
+            "primitive": self.primitive and {"name": self.primitive.name, "args": {k: told(v) for k, v in self.primitive.given.items()}}, "bases": [b.to_dict() for b in self.bases],
         }
 
     @staticmethod
     def from_dict(d: dict) -> LiteFeature:
         p = d["primitive"]
-        made = lookup(p["name"], "transform").__class__(**p["args"]) if p else None
+        made = lookup(p["name"], "transform").__class__(**{k: retold(v) for k, v in p["args"].items()}) if p else None
         return LiteFeature(d["name"], Schema(d["logical"], frozenset(d["tags"])), made, tuple(LiteFeature.from_dict(b) for b in d["bases"]), d["output"], d["alias"])
 
 

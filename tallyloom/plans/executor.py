@@ -1,10 +1,18 @@
 """Lowering of feature definitions to one lazy DataFrame with a row per (instance, cutoff).
 
 Rows of every table carry ``__ctx``, the cutoff they are seen from. With one cutoff
-it is a literal, and the visibility of rows a filter on the scan; with a table of
-cutoffs rows are joined to the (instance, cutoff) pairs they belong to, so no pass
-per cutoff is made. All features of a table that share a path to it share one scan
-and one grouping.
+it is a literal, and the visibility of rows a filter on the scan. With a table of
+cutoffs no pass per cutoff is made:
+
+- aggregations whose states merge take each row once, at the first cutoff of its
+  instance that sees it, and a running window adds the states up;
+- within a span of time, or the last n rows, rows meet the cutoffs of their instance
+  through a join on the instance and a bucket of the span, so few pairs are made that
+  the span does not hold;
+- other aggregations over all of the past need, and make, a pair of each row and
+  cutoff of an instance that sees it.
+
+Aggregations with mergeable states share one grouping, whatever their conditions.
 """
 
 from __future__ import annotations
@@ -18,14 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyloom.entityset import LTI, EntitySet, q
+from tallyloom.entityset import LTI, EntitySet, dense_index, q
 from tallyloom.features import (
     AggregationFeature, DirectFeature, Feature, FeatureOutputSlice, GroupByTransformFeature, IdentityFeature, TransformFeature,
 )
 from tallyloom.functions.base import Ctx, micros
+from tallyloom.functions.states import MERGES, has_states, parts_of, result_of
 from tallyloom.timedelta import Timedelta
 
 ID, CTX, KEY, APPROX = "__id", "__ctx", "__key", "__actx"
+ORDINAL = "__row"
+CHUNKS = 32
 
 
 def _kind(f: Feature) -> type:
@@ -85,26 +96,43 @@ class Lowering:
             df = self.visible(table, t.df.withColumn(CTX, self.at))
             return df if ids is None else df.join(ids.select(ID).distinct(), ID, "left_semi")
         if ids is None:
-            times = F.broadcast(self.contexts) if self.few_contexts() else self.contexts
-            if t.time_index:
-                time = q(t.time_index)
-                return self.visible(table, t.df.join(times, time <= F.col(CTX) if self.include else time < F.col(CTX)))
-            return self.visible(table, self.at_every_context(t.df))
+            return self.visible(table, self.at_every_context(t))
         pairs = ids.select(F.col(ID).alias("__pid"), CTX).distinct()
         return self.visible(table, t.df.join(pairs, q(t.index) == F.col("__pid")).drop("__pid"))
 
-    def at_every_context(self, df: DataFrame) -> DataFrame:
-        """An untimed table is the same at every cutoff: its rows once per cutoff time."""
-        if not self.few_contexts():
-            return df.join(self.contexts, F.lit(True))
-        times = [F.lit(r[0]).cast(self.contexts.schema[CTX].dataType) for r in self.contexts.collect()]  # at most 10,000
-        return df.withColumn(CTX, F.explode(F.array(*times))) if times else df.withColumn(CTX, F.lit(None).cast(self.contexts.schema[CTX].dataType)).limit(0)
+    def at_every_context(self, t) -> DataFrame:
+        """The table's rows once per cutoff time that sees them, for windows over the whole table that each cutoff changes.
 
-    def few_contexts(self) -> bool:
-        """Whether the distinct cutoff times are known to fit a broadcast."""
-        if not hasattr(self, "_few"):
-            self._few = self.contexts.limit(10_001).count() <= 10_000
-        return self._few
+        The cutoff times are dealt into CHUNKS, every row is sent to each chunk, and the
+        rest is a join on the chunk: neither side has to fit a broadcast.
+        """
+        rows = t.df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+        times = self.contexts.select(F.col(CTX), F.pmod(F.hash(CTX), F.lit(CHUNKS)).alias("__tchunk"))
+        on = F.col("__chunk") == F.col("__tchunk")
+        if t.time_index:
+            on = on & (q(t.time_index) <= F.col(CTX) if self.include else q(t.time_index) < F.col(CTX))
+        return rows.join(times, on).drop("__chunk", "__tchunk")
+
+    def free(self, f: Feature) -> bool:
+        """Whether the feature is a plain expression of its row, the same at every cutoff."""
+        if isinstance(f, IdentityFeature):
+            return not self.es[f.table].secondary
+        if type(f) is not TransformFeature:
+            return False
+        p = f.primitive
+        return p.kind == "column" and not (p.full or p.ordered or p.uses_calc_time) and all(self.free(b) for b in f.base_features)
+
+    def steady(self, table: str, f: Feature) -> bool:
+        """Whether a window over the whole table gives a row the same value at every cutoff that sees it.
+
+        So it is if no row comes or goes: in a table without times, or where the window
+        looks back only and a cutoff hides a tail of the order.
+        """
+        p, t = f.primitive, self.es[table]
+        inputs = [*f.base_features, *([f.groupby] if isinstance(f, GroupByTransformFeature) else [])]
+        if p.uses_calc_time or not all(self.free(b) for b in inputs):
+            return False
+        return t.time_index is None or self.window is None and p.looks_back
 
     # features
     def evaluate(self, table: str, frame: DataFrame, feats: list[Feature], full: bool = False) -> DataFrame:
@@ -144,6 +172,14 @@ class Lowering:
                 frame = self.direct(frame, rel, fs, late)
             trans = {**by[TransformFeature], **by[GroupByTransformFeature]}
             wide = {n: f for n, f in trans.items() if f.primitive.full and not full and self.differs(table)}
+            steady = {n: f for n, f in wide.items() if self.at is None and self.steady(table, f)}
+            if steady:
+                t = self.es[table]
+                once = t.df.withColumn(CTX, F.lit(None).cast(self.contexts.schema[CTX].dataType)).withColumn(ID, q(t.index))
+                side = self.evaluate(table, once, list(steady.values()), full=True).select(F.col(ID).alias("__wid"), *steady)
+                frame = frame.join(side, F.col(ID) == F.col("__wid"), "left").drop("__wid")
+                wide = {n: f for n, f in wide.items() if n not in steady}
+            trans = {n: f for n, f in trans.items() if n not in steady}
             if wide:
                 got = self.evaluate(table, self.rows(table, None), list(wide.values()), full=True)
                 side = got.select(F.col(ID).alias("__wid"), F.col(CTX).alias("__wctx"), *wide)
@@ -243,35 +279,155 @@ class Lowering:
 
     def aggregate(self, frame: DataFrame, path: tuple, feats: list[AggregationFeature]) -> DataFrame:
         """Group the rows at the end of the path by the ancestor and join the results to it."""
-        first, table = path[0], path[-1].child
-        child = self.es[first.child].df.where(q(first.child_column).isNotNull())
+        plans: dict = defaultdict(list)
+        for f in feats:
+            plans[self.how(path, f)].append(f)
+        for (how, previous), fs in plans.items():
+            if how == "running":
+                frame = self.joined(frame, self.running(frame, path[0], fs))
+                continue
+            rows, last = self.related(frame, path, how, previous, fs[0].where if how == "latest" else None)
+            needed = {self.name(d): d for f in fs for d in f.dependencies()}
+            rows = self.evaluate(path[-1].child, rows, list(needed.values()))
+            keys = [KEY] if self.at is not None else [KEY, CTX]
+            together = [f for f in fs if has_states(f.primitive) and not (f.use_previous and f.use_previous.is_observations)]
+            if together:
+                frame = self.joined(frame, self.conditional(path[-1].child, rows, keys, together))
+            kinds: dict = defaultdict(list)
+            done = {self.name(f) for f in together}
+            for f in fs:
+                if self.name(f) not in done:
+                    kinds[self.name(f.where) if f.where is not None else None, f.use_previous].append(f)
+            for (where, span), group in sorted(kinds.items(), key=str):
+                part = rows.where(F.col(where)) if where else rows
+                part = part if last else self.recent(path[-1].child, part, span, keys)
+                for got in self.group(path[-1].child, part, keys, group):
+                    frame = self.joined(frame, got)
+        return self.fill(frame, feats)
+
+    def joined(self, frame: DataFrame, got: DataFrame) -> DataFrame:
+        """The frame with the columns of a table by KEY and, if it has it, CTX."""
+        on = F.col(ID) == F.col("__akey")
+        if CTX in got.columns:
+            got = got.withColumnRenamed(CTX, "__actx2")
+            on = on & (F.col(CTX) == F.col("__actx2"))
+        return frame.join(got.withColumnRenamed(KEY, "__akey"), on, "left").drop("__akey", "__actx2")
+
+    def how(self, path: tuple, f: AggregationFeature) -> tuple:
+        """How rows meet cutoffs: ("running", None), ("latest", span), ("near", span) or ("pairs", None)."""
+        t, span = self.es[path[0].child], f.use_previous
+        if self.at is not None or len(path) > 1 or t.time_index is None:
+            return "pairs", None
+        free = all(self.free(b) for b in [*f.base_features, *([f.where] if f.where is not None else [])])
+        if span is None:
+            return ("running" if free and self.window is None and has_states(f.primitive) else "pairs"), None
+        if not span.is_observations:
+            return "near", span
+        return ("latest", (span, f.where.unique_name() if f.where is not None else None)) if free and self.window is None else ("pairs", None)
+
+    def related(self, frame: DataFrame, path: tuple, how: str, previous, where: Feature | None) -> tuple[DataFrame, bool]:
+        """The rows at the end of the path with the KEY and CTX they belong to, and whether they are the last n already."""
+        first = path[0]
+        t = self.es[first.child]
+        child = t.df.where(q(first.child_column).isNotNull())
+        if how == "latest":
+            return self.latest(frame, first, int(previous[0].value), where), True
         if self.at is not None:
             rows = child.withColumn(CTX, self.at).withColumn(KEY, q(first.child_column))
             if self.restricted:
                 rows = rows.join(frame.select(F.col(ID).alias("__pid")), F.col(KEY) == F.col("__pid"), "left_semi")
         else:
             pairs = frame.select(F.col(ID).alias(KEY), CTX)
-            rows = child.join(pairs, q(first.child_column) == F.col(KEY))
+            spans = [x for x in (self.window if t.last_times is None else None, previous) if x is not None]
+            if t.time_index and spans:
+                rows = self.near(child, first.child_column, t, pairs, min(spans, key=lambda x: x.at_most()))
+            else:
+                rows = child.join(pairs, q(first.child_column) == F.col(KEY))
         rows = self.visible(first.child, rows)
         for r in path[1:]:
             above = rows.select(F.col(ID).alias("__mid"), KEY, CTX)
             rows = self.visible(r.child, self.es[r.child].df.join(above, q(r.child_column) == F.col("__mid")).drop("__mid"))
-        needed = {self.name(d): d for f in feats for d in f.dependencies()}
-        rows = self.evaluate(table, rows, list(needed.values()))
-        kinds: dict = defaultdict(list)
+        return rows, False
+
+    def near(self, child: DataFrame, column: str, t, pairs: DataFrame, span: Timedelta) -> DataFrame:
+        """Rows with the cutoffs of their key less than about two spans later, by a join on key and bucket."""
+        width = max(1, int(-(-span.at_most() // 1))) if t.time_is_number else max(1, int(span.at_most() * 1_000_000))
+        place = lambda c: F.floor((c if t.time_is_number else micros(c)) / F.lit(width))
+        here = place(F.col(CTX))
+        pairs = pairs.withColumn("__bucket", F.explode(F.array(here - 1, here)))
+        rows = child.withColumn("__rbucket", place(q(t.time_index)))
+        return rows.join(pairs, (q(column) == F.col(KEY)) & (F.col("__rbucket") == F.col("__bucket"))).drop("__bucket", "__rbucket")
+
+    def timeline(self, frame: DataFrame, rows: DataFrame, t, cols: list[Column]) -> tuple[DataFrame, list[Column]]:
+        """Rows and cutoffs of all keys in one table, and the order in which each cutoff stands right after the last row it sees."""
+        events = rows.select(KEY, q(t.time_index).alias("__at"), F.lit(False).alias("__cut"), q(t.index).alias("__idx"), *cols)
+        cuts = frame.select(F.col(ID).alias(KEY), F.col(CTX).alias("__at"), F.lit(True).alias("__cut")).distinct()
+        tie = F.col("__cut") if self.include else ~F.col("__cut")
+        return events.unionByName(cuts, allowMissingColumns=True), [F.col("__at"), tie, F.col("__idx")]
+
+    def child_rows(self, rel, needed: list[Feature]) -> DataFrame:
+        """The child's rows with plain features, seen from no cutoff in particular."""
+        t = self.es[rel.child]
+        rows = t.df.where(q(rel.child_column).isNotNull() & q(t.time_index).isNotNull())
+        rows = rows.withColumn(CTX, F.lit(None).cast(self.contexts.schema[CTX].dataType)).withColumn(KEY, q(rel.child_column)).withColumn(ID, q(t.index))
+        return self.evaluate(rel.child, rows, needed)
+
+    def running(self, frame: DataFrame, rel, feats: list[AggregationFeature]) -> DataFrame:
+        """States by (KEY, CTX): every row counts at the first cutoff of its key that sees it, then cutoffs add up in order.
+
+        One shuffle by key; a key with n rows and k cutoffs is n + k rows sorted, then k states.
+        """
+        t = self.es[rel.child]
+        rows = self.child_rows(rel, list({self.name(d): d for f in feats for d in f.dependencies()}.values()))
+        parts, use = self.parts(rel.child, feats)
+        both, order = self.timeline(frame, rows, t, [c.alias(k) for k, (c, _) in parts.items()])
+        backwards = Window.partitionBy(KEY).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = both.withColumn(CTX, F.last(F.when(F.col("__cut"), F.col("__at")), ignorenulls=True).over(backwards)).where(F.col(CTX).isNotNull())
+        steps = seen.groupBy(KEY, CTX).agg(*[MERGES[how](k).alias(k) for k, (_, how) in parts.items()])
+        so_far = Window.partitionBy(KEY).orderBy(CTX).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return steps.select(KEY, CTX, *[MERGES[how](k).over(so_far).alias(k) for k, (_, how) in parts.items()]).select(KEY, CTX, *use)
+
+    def conditional(self, table: str, rows: DataFrame, keys: list[str], feats: list[AggregationFeature]) -> DataFrame:
+        """All features with mergeable states in one grouping, their conditions inside the states."""
+        parts, use = self.parts(table, feats)
+        got = rows.groupBy(*keys).agg(*[MERGES[how](c).alias(k) for k, (c, how) in parts.items()])
+        return got.select(*keys, *use)
+
+    def parts(self, table: str, feats: list[AggregationFeature]) -> tuple[dict, list[Column]]:
+        """The states' parts of the features by column name, and the features' columns over merged parts."""
+        t = self.es[table]
+        order = ([q(t.time_index)] if t.time_index else []) + [q(t.index)]
+        parts, use = {}, []
         for f in feats:
-            where = self.name(f.where) if f.where is not None else None
-            kinds[where, f.use_previous].append(f)
-        keys = [KEY] if self.at is not None else [KEY, CTX]
-        for (where, previous), fs in sorted(kinds.items(), key=str):
-            part = rows.where(F.col(where)) if where else rows
-            for got in self.group(table, self.recent(table, part, previous, keys), keys, fs):
-                side = got.withColumnRenamed(KEY, "__akey").withColumnRenamed(CTX, "__actx2")
-                on = F.col(ID) == F.col("__akey")
-                if self.at is None:
-                    on = on & (F.col(CTX) == F.col("__actx2"))
-                frame = frame.join(side, on, "left").drop("__akey", "__actx2")
-        return self.fill(frame, feats)
+            n = self.name(f)
+            x = Ctx(self.at if self.at is not None else F.col(CTX), order[0], order, None, [b.schema for b in f.base_features], None, f"{n}_")
+            conditions = [F.col(self.name(f.where))] if f.where is not None else []
+            if f.use_previous is not None:
+                conditions.append(q(t.time_index) >= f.use_previous.before(x.cutoff, t.time_is_number))
+            condition = None
+            for c in conditions:
+                condition = c if condition is None else condition & c
+            own = parts_of(f.primitive, [F.col(self.name(b)) for b in f.base_features], x, condition)
+            parts.update({x.prefix + k: c for k, c in own.items()})
+            use.append(result_of(f.primitive, {k: x.col(k) for k in own}, x).alias(n))
+        return parts, use
+
+    def latest(self, frame: DataFrame, rel, n: int, where: Feature | None) -> DataFrame:
+        """The last n rows that each cutoff sees (and that pass the condition): rows are numbered, a cutoff takes the numbers up to its own."""
+        t = self.es[rel.child]
+        rows = self.child_rows(rel, [where] if where is not None else [])
+        rows = rows.where(F.col(self.name(where))) if where is not None else rows
+        both, order = self.timeline(frame, rows, t, [F.struct(*[q(c).alias(c) for c in t.df.columns]).alias("__row")])
+        so_far = Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = both.withColumn("__n", F.sum(F.when(F.col("__cut"), 0).otherwise(1)).over(so_far))
+        bucket = lambda c: F.floor((c - 1) / F.lit(n))
+        cuts = both.where("__cut").select(
+            F.col(KEY).alias("__ckey"), F.col("__at").alias(CTX), F.col("__n").alias("__upto"), F.explode(F.array(bucket(F.col("__n")) - 1, bucket(F.col("__n")))).alias("__bucket")
+        )
+        numbered = both.where("not __cut").select(KEY, "__n", bucket(F.col("__n")).alias("__rbucket"), "__row")
+        on = (F.col(KEY) == F.col("__ckey")) & (F.col("__bucket") == F.col("__rbucket")) & (F.col("__n") <= F.col("__upto")) & (F.col("__n") > F.col("__upto") - n)
+        got = numbered.join(cuts, on).select(KEY, CTX, *[F.col("__row").getField(c).alias(c) for c in t.df.columns])
+        return got.withColumn(ID, q(t.index))
 
     def recent(self, table: str, rows: DataFrame, previous: Timedelta | None, keys: list[str]) -> DataFrame:
         if previous is None:
@@ -287,6 +443,7 @@ class Lowering:
         order = ([q(t.time_index)] if t.time_index else []) + [q(t.index)]
         out, plain = [], []
         stats: dict[str, Column] = {}
+        more: dict[str, Column] = {}
         layers: list[dict[str, Column]] = []
         for f in feats:
             n, p = self.name(f), f.primitive
@@ -297,6 +454,8 @@ class Lowering:
                 continue
             if p.kind == "stats":
                 stats.update({x.prefix + k: c for k, c in p.stats(v).items()})
+                if hasattr(p, "more_stats"):
+                    more.update({x.prefix + k: c for k, c in p.more_stats(v, x).items()})
             if p.kind == "layers":
                 for i, layer in enumerate(p.layers(v, x)):
                     if len(layers) <= i:
@@ -304,9 +463,10 @@ class Lowering:
                     layers[i].update({x.prefix + k: c for k, c in layer.items()})
             plain.append(p.plain(v, x).alias(n))
         if plain:
-            if stats:
-                side = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in stats.items()])
-                rows = rows.join(side, keys)
+            for of in (stats, more):
+                if of:
+                    side = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in of.items()])
+                    rows = rows.join(side, keys)
             for layer in layers:
                 rows = rows.withColumns(layer)
             out.append(rows.groupBy(*keys).agg(*plain))
@@ -333,7 +493,8 @@ def _floor(ctx: Column, span: Timedelta, numeric: bool) -> Column:
 def calculate_feature_matrix(
     features: list[Feature], entityset: EntitySet | None = None, cutoff_time=None, instance_ids: list | None = None,
     cutoff_time_in_index: bool = False, training_window=None, approximate=None, include_cutoff_time: bool = True, chunk_size=None,
-    n_jobs: int = 1, verbose: bool = False, save_progress: str | None = None,
+    n_jobs: int = 1, verbose: bool = False, save_progress: str | None = None, check_duplicates: bool = False, keep_order: bool = False,
+    progress_callback=None,
 ) -> DataFrame:
     """Feature values of instances as of their cutoffs.
 
@@ -344,6 +505,12 @@ def calculate_feature_matrix(
     then the features. Rows are not ordered; there is one per instance, or per row of
     the cutoff table. Instances that do not exist or are not yet visible get defaults.
 
+    With ``check_duplicates`` a job looks whether rows of the cutoff table repeat an
+    instance and time, which is an error then. With ``keep_order`` the last column,
+    __row, numbers the rows of the cutoff table (or the instance ids) as they came.
+    ``progress_callback(done, total, features)`` is called when the plan stands and,
+    with save_progress, when the matrix is written.
+
     chunk_size and n_jobs have no effect: Spark splits the work.
     """
     if not features:
@@ -363,6 +530,8 @@ def calculate_feature_matrix(
     frame_of_cutoffs = isinstance(cutoff_time, DataFrame)
     extra: list[str] = []
     if frame_of_cutoffs:
+        if keep_order:
+            cutoff_time = dense_index(cutoff_time, ORDINAL).select(*[q(c) for c in cutoff_time.columns], ORDINAL)
         cols = cutoff_time.columns
         idc = next((c for c in ("instance_id", t.index) if c in cols), cols[0])
         tc = next((c for c in ("time", t.time_index) if c and c in cols and c != idc), None) or next(c for c in cols if c != idc)
@@ -371,6 +540,8 @@ def calculate_feature_matrix(
         if numeric != isinstance(have, T.NumericType):
             raise TypeError("cutoff_time times must be of the time type of the entity set")
         cut = cutoff_time.select(q(idc).cast(t.df.schema[t.index].dataType).alias(ID), q(tc).cast(kind).alias(CTX), *[q(c).alias(f"__x{i}") for i, c in enumerate(extra)])
+        if check_duplicates and not cut.groupBy(ID, CTX).count().where("count > 1").isEmpty():
+            raise AssertionError("Duplicated rows in cutoff time dataframe.")
         low = Lowering(es, target, None, training_window, include_cutoff_time, approximate, True)
         pairs = cut.select(ID, CTX).where(F.col(ID).isNotNull() & F.col(CTX).isNotNull()).distinct()
         low.contexts = pairs.select(CTX).distinct()
@@ -391,6 +562,10 @@ def calculate_feature_matrix(
             spark = t.df.sparkSession
             ids_kind = T.StructType([T.StructField(ID, t.df.schema[t.index].dataType)])
             cut = spark.createDataFrame([(i,) for i in dict.fromkeys(instance_ids)], ids_kind)
+            if keep_order:
+                extra = [ORDINAL]
+                ids_kind = T.StructType([*ids_kind.fields, T.StructField("__x0", T.LongType())])
+                cut = spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(instance_ids))], ids_kind)
         elif t.time_index:
             cut = t.df.select(q(t.index).alias(ID))
         frame = low.rows(target, cut if instance_ids is not None else None)
@@ -405,14 +580,19 @@ def calculate_feature_matrix(
     cols = [F.col(ID).alias(t.index)]
     if frame_of_cutoffs or cutoff_time_in_index:
         cols.append(F.col(CTX).alias("time"))
-    cols += [F.col(f"__x{i}").alias(c) for i, c in enumerate(extra)]
+    cols += [F.col(f"__x{i}").alias(c) for i, c in enumerate(extra) if c != ORDINAL]
     for f in features:
         if f.number_output_features == 1:
             cols.append(F.col(low.name(f)).alias(f.get_name()))
         else:
             cols += [F.get(F.col(low.name(f)), i).alias(n) for i, n in enumerate(f.get_feature_names())]
+    cols += [F.col(f"__x{i}").alias(c) for i, c in enumerate(extra) if c == ORDINAL]
     out = values.select(*cols)
+    if progress_callback:
+        progress_callback(0, 1, len(features))
     if save_progress:
         out.write.mode("overwrite").parquet(save_progress)
         out = t.df.sparkSession.read.parquet(save_progress)
+        if progress_callback:
+            progress_callback(1, 1, len(features))
     return out

@@ -253,15 +253,6 @@ def win_expanding(spark: SparkSession, folder: str) -> DataFrame:
     return calculate_feature_matrix(trans(es, "events", spec, "user_id"), es)
 
 
-@query()
-def win_weighted(spark: SparkSession, folder: str) -> DataFrame:
-    """Recursions that SQL has no expression for; tested against pandas."""
-    es = stream(spark, folder)
-    spec = {"ew_mean": (T["exponential_weighted_average"](com=0.5), "value"), "ew_std": (T["exponential_weighted_std"](span=3), "value"),
-            "ew_var": (T["exponential_weighted_variance"](alpha=0.4), "value"), "smooth": ("savgol_filter", "value")}
-    return calculate_feature_matrix(trans(es, "events", spec, "user_id"), es)
-
-
 # row-wise transforms
 @query("""select o_orderkey, o_totalprice + o_custkey p_add, o_totalprice - o_custkey p_sub, o_totalprice * o_custkey p_mul, o_totalprice / nullif(o_custkey - 5, 0) p_div_raw,
   o_totalprice - o_custkey * floor(o_totalprice / nullif(o_custkey, 0)) p_mod, o_totalprice + 2 s_add, o_totalprice - 2 s_sub, o_totalprice * 2 s_mul, o_totalprice / 2 s_div, 5 - o_totalprice r_sub,

@@ -52,6 +52,10 @@ class Timedelta:
             raise ValueError(f"{self} has no fixed length")
         return self.value * SECONDS[self.unit]
 
+    def at_most(self) -> float:
+        """Seconds (or numbers) that the span never exceeds; months and years count with their longest."""
+        return self.value * {"mo": 31 * 86400, "Y": 366 * 86400}.get(self.unit, SECONDS.get(self.unit, 1))
+
     def before(self, t: Column, numeric: bool = False) -> Column:
         """``t`` minus this span."""
         if numeric:

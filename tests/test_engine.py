@@ -227,3 +227,129 @@ def test_temporal_cutoffs(spark):
     assert hours(df, window_size="2h") == [4, 6, 8, 10] and hours(df, num_windows=3) == [4, 7, 10] and hours(df.drop("start"), window_size="1h", num_windows=2) == [9, 10]
     with pytest.raises(ValueError):
         post.make_temporal_cutoffs(df.drop("start"), window_size="1h")
+
+
+@pytest.fixture(scope="module")
+def visits(spark):
+    """A few keys, ties in time, cutoffs before, at and after rows, null flags."""
+    import random
+
+    rng = random.Random(3)
+    es = EntitySet("visits").add_dataframe(spark.createDataFrame([(k,) for k in range(6)], "k long"), "keys", "k")
+    rows = [(i, rng.choice([0, 1, 1, 2, 3, None, 77]), at(rng.randrange(40)), rng.choice([None, *range(-3, 4)]), rng.choice([None, True, False])) for i in range(200)]
+    es.add_dataframe(spark.createDataFrame(rows, "i long, k long, t timestamp_ntz, v long, b boolean"), "log", "i", "t")
+    es.add_relationship("keys", "k", "log", "k")
+    es.cuts = spark.createDataFrame([(k, at(h)) for k in range(6) for h in (-1, 0, 7, 7.5, 20, 39, 90)], "k long, time timestamp_ntz")
+    es.rows, es.times = rows, [(k, at(h)) for k in range(6) for h in (-1, 0, 7, 7.5, 20, 39, 90)]
+    return es
+
+
+STATEFUL = {
+    "count": ["i"], "sum": ["v"], "mean": ["v"], "min": ["v"], "max": ["v"], "max_min_delta": ["v"], "num_true": ["b"], "percent_true": ["b"], "all": ["b"], "any": ["b"],
+    "count_greater_than": ["v"], "count_less_than": ["v"], "count_inside_range": ["v"], "count_outside_range": ["v"], "first": ["v"], "last": ["v"], "date_first_event": ["t"],
+    "first_last_time_delta": ["t"], "avg_time_between": ["t"], "time_since_first": ["t"], "time_since_last": ["t"], "time_since_last_true": ["t", "b"], "time_since_last_false": ["t", "b"],
+    "time_since_last_max": ["t", "v"], "time_since_last_min": ["t", "v"],
+}
+
+
+@pytest.mark.parametrize("include", [True, False])
+def test_running_states_equal_one_cutoff_at_a_time(visits, include):
+    """Every aggregation with states, with and without a condition, over a table of cutoffs and over each cutoff by itself."""
+    from tallyloom.functions.states import STATES
+
+    assert set(STATEFUL) == set(STATES)
+    flag = IdentityFeature(visits, "log", "b") == True  # noqa: E712
+    fs = []
+    for n, cols in STATEFUL.items():
+        bases = [IdentityFeature(visits, "log", c) for c in cols]
+        fs += [AggregationFeature(bases, "keys", n).rename(n), AggregationFeature(bases, "keys", n, where=flag).rename(f"{n}_where")]
+    many = {(r["k"], r["time"]): r.asDict() for r in calculate_feature_matrix(fs, visits, visits.cuts, include_cutoff_time=include).collect()}
+    for time in sorted({t for _, t in visits.times}):
+        one = matrix(calculate_feature_matrix(fs, visits, cutoff_time=time, include_cutoff_time=include), "k")
+        for k in range(6):
+            got = {n: v for n, v in many[k, time].items() if n not in ("k", "time")}
+            want = {n: v for n, v in one[k].items() if n != "k"}
+            assert got == pytest.approx(want) if not any(isinstance(v, dt.datetime) for v in want.values()) else all(got[n] == want[n] or got[n] == pytest.approx(want[n]) for n in want), (k, time)
+
+
+@pytest.mark.parametrize("previous", ["9 hours", "3 observations", "1 month"])
+def test_rows_near_a_cutoff(visits, previous):
+    flag = IdentityFeature(visits, "log", "b") == True  # noqa: E712
+    v = IdentityFeature(visits, "log", "v")
+    fs = [AggregationFeature([v], "keys", p, use_previous=previous, where=w).rename(f"{p}{i}") for p in ("sum", "median") for i, w in enumerate([None, flag])]
+    got = {(r["k"], r["time"]): tuple(r)[2:] for r in calculate_feature_matrix(fs, visits, visits.cuts).collect()}
+    span = Timedelta.parse(previous)
+    for k, time in visits.times:
+        out = []
+        for i in (0, 1):
+            rows = sorted((t, i_, v_) for i_, k_, t, v_, b in visits.rows if k_ == k and t <= time and (not i or b))
+            rows = rows[-3:] if span.is_observations else [r for r in rows if r[0] >= time - dt.timedelta(seconds=span.at_most())]
+            out.append(sorted(r[2] for r in rows if r[2] is not None))
+        med = lambda x: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2 if x else None
+        assert got[k, time] == (sum(out[0]), sum(out[1]), med(out[0]), med(out[1])), (k, time)
+
+
+def test_windows_over_the_whole_table_at_many_cutoffs(visits):
+    """Looking back, a row's value is the same at every cutoff; a percentile is not. No plan has a nested-loop join."""
+    v = IdentityFeature(visits, "log", "v")
+    fs = [TransformFeature([v], "cum_sum").rename("run"), TransformFeature([v], "percentile").rename("rank")]
+    cuts = visits["log"].df.select(F.col("i").alias("instance_id"), (F.col("t") + F.expr("interval 5 hours")).alias("time"))
+    out = calculate_feature_matrix(fs, visits, cuts)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((t, i, v) for i, _, t, v, _ in visits.rows)
+    for r in out.collect():
+        seen = [(t, i, v) for t, i, v in rows if t <= r["time"]]
+        mine = next(x for x in seen if x[1] == r["i"])
+        if mine[2] is None:
+            assert r["run"] is None and r["rank"] is None
+            continue
+        known = [v for *_, v in seen if v is not None]
+        assert r["run"] == sum(v for *p, v in seen if v is not None and (p[0], p[1]) <= mine[:2])
+        assert r["rank"] == pytest.approx((sum(x < mine[2] for x in known) + (sum(x == mine[2] for x in known) + 1) / 2) / len(known))
+
+
+def test_cutoff_checks_and_order(small, spark):
+    fs = [AggregationFeature([IdentityFeature(small, "log", "i")], "cust", "count").rename("n")]
+    cuts = spark.createDataFrame([(2, at(9), "x"), (1, at(9), "y"), (2, at(9), "z")], "c long, time timestamp_ntz, label string")
+    with pytest.raises(AssertionError):
+        calculate_feature_matrix(fs, small, cuts, check_duplicates=True)
+    out = calculate_feature_matrix(fs, small, cuts.coalesce(1), keep_order=True)
+    assert out.columns == ["c", "time", "label", "n", "__row"] and [r["label"] for r in out.orderBy("__row").collect()] == ["x", "y", "z"]
+    said = []
+    calculate_feature_matrix(fs, small, cuts, progress_callback=lambda *a: said.append(a))
+    assert said == [(0, 1, 1)]
+
+
+def test_parameters_survive_saving(small):
+    g = IdentityFeature(small, "cust", "g")
+    fs = [TransformFeature([g], TRANSFORMS["isin"](list_of_outputs={"x", "y"})), TransformFeature([g], TRANSFORMS["isin"](list_of_outputs=("x", at(1))))]
+    again = load_features(save_features(fs), small)
+    assert again[0].primitive.list_of_outputs == {"x", "y"} and again[1].primitive.list_of_outputs == ("x", at(1))
+    with pytest.raises(TypeError):
+        save_features([TransformFeature([g], TRANSFORMS["isin"](list_of_outputs=[object()]))])
+
+
+def test_copies_and_items(small, spark):
+    import copy
+
+    other = copy.deepcopy(small)
+    other["cust"].interesting["g"] = ["x"]
+    assert "g" not in small["cust"].interesting and other.relationships == small.relationships
+    other["more"] = spark.range(3).toDF("m")
+    other["more"] = spark.range(5).toDF("m")
+    assert other["more"].index == "m" and other["more"].df.count() == 5 and "more" not in small
+
+
+def test_correlations_with_nulls_and_constants(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1e6 + rng.random()]), rng.random(), 7.0, rng.random() < 0.5) for _ in range(300)]
+    rows = [(a, b, None if a is None else a * 2 + b * 0.01, c, d) for a, b, c, d in rows]
+    m = spark.createDataFrame(rows, "a double, b double, like_a double, same double, flag boolean").repartition(3)
+    got = post._correlations(m, m.columns)
+    want = pd.DataFrame(rows, columns=m.columns).astype(float).corr()
+    for (x, y), r in got.items():
+        assert r == pytest.approx(want.loc[x, y], abs=1e-6, nan_ok=True), (x, y)
