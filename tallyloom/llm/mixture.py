@@ -37,9 +37,10 @@ def balance(
     Of all rates that meet the targets and stay within max_repeats those of least
     relative entropy to one copy each are r = min(max_repeats, exp(lambda_s * n / mean_s)):
     the convex dual has one multiplier per source. Newton's steps on it, kept inside
-    a bracket, need two sums per source and step, computed over a table of (source,
-    n_tokens, documents) that all partitions share in. A source whose documents stay
-    below the target at max_repeats copies each is unreachable and gets that rate.
+    a bracket, need a few sums per source and step, computed over a table of (source,
+    n_tokens, documents) that all partitions share in. A source whose multiplier has
+    driven every document to max_repeats, with the sum still below the target, is told
+    unreachable by that step and keeps that rate. A source of target 0 gets rate 0.
 
     Rates become copies by rounding up where a hash of doc_id, as a number from 0 to 1,
     lies below their fraction, moved by a small shift per source that makes the size of
@@ -70,19 +71,21 @@ def balance(
     docs = {k: have.get(k, (0, 0))[0] for k in name}
     tokens = {k: have.get(k, (0, 0))[1] for k in name}
     target = {k: total * weight[k] / all_weight for k in name}
-    reachable = {k: cap[k] * tokens[k] >= target[k] for k in name}
+    reachable = {k: bool(tokens[k]) or target[k] <= 0 for k in name}
     mean = {k: tokens[k] / docs[k] if docs[k] and tokens[k] else 1.0 for k in name}
     lam = {k: 0.0 for k in name}
     low, high = {k: -math.inf for k in name}, {k: math.inf for k in name}
-    open_ = {k for k in name if reachable[k] and tokens[k] and target[k] > 0}
+    open_ = {k for k in name if tokens[k] and target[k] > 0}
+    per_size = per_size.persist()
 
     def with_rate(df: DataFrame, keys) -> DataFrame:
         side = spark.createDataFrame(
-            [(k, lam[k], mean[k], float(cap[k]), not reachable[k]) for k in keys], "k string, lam double, mean double, cap double, full boolean"
+            [(k, lam[k], mean[k], float(cap[k]), target[k] <= 0, not reachable[k]) for k in keys],
+            "k string, lam double, mean double, cap double, none boolean, full boolean",
         )  # one row per listed source
         free = F.exp(F.least(F.col("lam") * F.col("t") / F.col("mean"), F.lit(700.0)))
-        rate = F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", free))
-        return df.join(F.broadcast(side), "k").withColumn("rate", rate).withColumn("tight", F.col("full") | (free >= F.col("cap")))
+        rate = F.when(F.col("none"), F.lit(0.0)).when(F.col("full"), F.col("cap")).otherwise(F.least("cap", free))
+        return df.join(F.broadcast(side), "k").withColumn("rate", rate).withColumn("tight", free >= F.col("cap"))
 
     for _ in range(most_steps):
         if not open_:
@@ -93,12 +96,15 @@ def balance(
             .agg(
                 F.sum(F.col("c") * F.col("t") * F.col("rate")).alias("g"),
                 F.sum(F.when(~F.col("tight"), F.col("c") * F.col("t") * F.col("t") / F.col("mean") * F.col("rate")).otherwise(0.0)).alias("h"),
+                F.count_if(~F.col("tight") & (F.col("t") > 0)).alias("loose"),
             )
             .collect()
         )
         for r in got:
             k, miss = r["k"], r["g"] - target[r["k"]]
-            if abs(miss) <= tolerance * target[k]:
+            if not r["loose"] and miss < 0:
+                reachable[k] = False  # all at their most, and still below
+            if not reachable[k] or abs(miss) <= tolerance * target[k]:
                 open_.discard(k)
                 continue
             if miss < 0:
@@ -108,13 +114,14 @@ def balance(
             step = lam[k] - miss / r["h"] if r["h"] > 0 else math.nan
             if not (low[k] < step < high[k]) or abs(step - lam[k]) > 20:
                 if math.isinf(high[k]):
-                    step = max(1.0, 2 * lam[k])
+                    step = max(1.0, 4 * lam[k])
                 elif math.isinf(low[k]):
                     step = min(-1.0, 2 * lam[k])
                 else:
                     step = (low[k] + high[k]) / 2
             lam[k] = step
 
+    per_size.unpersist()
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     whole = F.floor("rate")
     fraction = F.col("rate") - whole

@@ -44,6 +44,26 @@ def test_targets_caps_and_unreachable(spark, sizes):
     assert all(r["copies"] == 2 for r in by["tiny"])
 
 
+def test_unreachable_by_the_steps_as_by_capacity(spark):
+    """The steps' answer is that of counting capacity, on either side of the edge, with sizes that differ widely."""
+    rows = [(i, s, t) for s in ("just", "short", "even", "zero", "none") for i, t in enumerate([1, 1, 2, 50, 4000, 90_000])]
+    rows = [(j, s, t) for j, (_, s, t) in enumerate(rows)]
+    total = sum(t for *_, t in rows)
+    own = total // 5
+    caps = {"just": 3, "short": 3, "even": 2, "zero": 0, "none": 5}
+    aim = {"just": 3 * own - 1, "short": 3 * own + 1, "even": 2 * own, "zero": 5, "none": 0}
+    rest = 10**7
+    docs = spark.createDataFrame([*rows, (99, "big", rest)], "doc_id long, source string, n_tokens long")
+    size = total + rest
+    aim["big"], caps["big"] = size - sum(aim.values()), 9
+    targets = spark.createDataFrame([(s, float(w), caps[s]) for s, w in aim.items()], "source string, target_weight double, max_repeats long")
+    m = balance(docs, targets)
+    got = {r["source"]: r for r in m.sources.collect()}
+    assert {s: r["reachable"] for s, r in got.items()} == {"just": True, "short": False, "even": True, "zero": False, "none": True, "big": True}
+    assert all(r["reachable"] == (r["capacity_tokens"] >= aim[s]) for s, r in got.items())
+    assert all(r["rate"] == 0 and r["copies"] == 0 for r in m.rates.where("source in ('none', 'zero')").collect())
+
+
 def test_empty_inputs(spark, sizes):
     targets = spark.createDataFrame([("a_b", None, None), ("big", 1.0, 1)], "source string, target_weight double, max_repeats long")
     assert balance(sizes.limit(0), targets).sources.where("not reachable").count() == 0
