@@ -173,67 +173,39 @@ aggregation("MinCount", [NUM], R_INT, lambda p, v, x: F.when(F.max(x.col("m")).i
 aggregation("MedianCount", [NUM], R_INT, lambda p, v, x: F.when(F.max(x.col("m")).isNotNull(), F.count_if(v[0] == x.col("m"))),
             stats=lambda p, v: {"m": unless_null(v[0], p.skipna, F.median(v[0]))}, default=0, **_skip, **no_self)
 
-# order within the group: layers of windows that share one sort
-
-
-def _streak(flag, kept):
-    """Layers that give, at each row, the length of the run of ``flag`` rows that ends there; other kept rows end runs."""
-
-    def layers(p, v, x):
-        f, k = flag(p, v, x), kept(p, v)
-        return [
-            {"rn": F.sum(F.when(k, 1).otherwise(0)).over(x.up_to), "f": f & k, "k": k},
-            {"stop": F.last(F.when(F.col(x.prefix + "k") & ~F.coalesce(x.col("f"), F.lit(False)), x.col("rn")), ignorenulls=True).over(x.up_to)},
-        ]
-
-    return layers
-
-
-def _longest(p, v, x):
-    return F.coalesce(F.max(F.when(x.col("f"), x.col("rn") - F.coalesce(x.col("stop"), F.lit(0)))), F.lit(0))
-
-
-_all = lambda p, v: F.lit(True)
-_known = lambda p, v: v[0].isNotNull() if p.skipna else F.lit(True)
+# order within the group: one column each, whose segments' states merge in order; its rows that do not count are null
 _run = {"default": 0, **no_self}
-aggregation("MaxConsecutiveTrue", [BOOL], R_INT, _longest, layers=_streak(lambda p, v, x: v[0], _all), **_run)
-aggregation("MaxConsecutiveFalse", [BOOL], R_INT, _longest, layers=_streak(lambda p, v, x: ~v[0], _all), **_run)
-aggregation("MaxConsecutiveNegatives", [NUM], R_INT, _longest, layers=_streak(lambda p, v, x: v[0] < 0, _known), **_skip, **_run)
-aggregation("MaxConsecutivePositives", [NUM], R_INT, _longest, layers=_streak(lambda p, v, x: v[0] > 0, _known), **_skip, **_run)
-aggregation("MaxConsecutiveZeros", [NUM], R_INT, _longest, layers=_streak(lambda p, v, x: v[0] == 0, _known), **_skip, **_run)
-
-
-def _mean_streak(above: bool):
-    def layers(p, v, x):
-        k = v[0].isNotNull() if p.skipna else F.lit(True)
-        m = F.avg(v[0]).over(x.group)
-        if not p.skipna:
-            m = F.when(F.count(v[0]).over(x.group) == F.count(F.lit(1)).over(x.group), m)
-        first = [{"m": m, "k": k, "rn": F.sum(F.when(k, 1).otherwise(0)).over(x.up_to)}, {"f": (v[0] > x.col("m") if above else v[0] < x.col("m")) & x.col("k")}]
-        return [*first, {"stop": F.last(F.when(x.col("k") & ~F.coalesce(x.col("f"), F.lit(False)), x.col("rn")), ignorenulls=True).over(x.up_to)}]
 
-    return layers
 
+def _flag(f: Column, kept: Column) -> Column:
+    return F.when(kept, F.coalesce(f, F.lit(False)).cast("int"))
 
-def _longest_known(p, v, x):
-    return F.when(F.max(x.col("m")).isNotNull(), _longest(p, v, x))
 
+def _known(p, v):
+    return v[0].isNotNull() if p.skipna else F.lit(True)
 
-aggregation("NumConsecutiveGreaterMean", [NUM], R_INT, _longest_known, layers=_mean_streak(True), **_skip, **no_self)
-aggregation("NumConsecutiveLessMean", [NUM], R_INT, _longest_known, layers=_mean_streak(False), **_skip, **no_self)
 
+def _longest(state: Column) -> Column:
+    return F.get(state, F.lit(3)).cast("long")
 
-def _monotonic(good):
-    return dict(
-        plain=lambda p, v, x: F.coalesce(F.bool_and(good(v[0], x.col("prev"))), F.lit(True)),
-        layers=lambda p, v, x: [{"prev": F.last(v[0], ignorenulls=True).over(x.w.rowsBetween(-(2**31), -1))}],
-    )
 
+for _name, _in, _test in [
+    ("MaxConsecutiveTrue", BOOL, lambda v: v), ("MaxConsecutiveFalse", BOOL, lambda v: ~v), ("MaxConsecutiveNegatives", NUM, lambda v: v < 0),
+    ("MaxConsecutivePositives", NUM, lambda v: v > 0), ("MaxConsecutiveZeros", NUM, lambda v: v == 0),
+]:
+    aggregation(_name, [_in], R_INT, segments=("runs", lambda p, v, x, t=_test: _flag(t(v[0]), F.lit(True) if p.inputs[0][0] is BOOL else _known(p, v)), _longest),
+                **({} if _in is BOOL else _skip), **_run)
+for _name, _test in [("NumConsecutiveGreaterMean", lambda v, m: v > m), ("NumConsecutiveLessMean", lambda v, m: v < m)]:
+    aggregation(_name, [NUM], R_INT, stats=lambda p, v: {"m": unless_null(v[0], p.skipna, F.avg(v[0]))},
+                segments=("runs", lambda p, v, x, t=_test: _flag(t(v[0], x.col("m")), _known(p, v) & x.col("m").isNotNull()), lambda s: F.when(F.get(s, F.lit(0)) > 0, _longest(s))), **_skip, **no_self)
+_count = lambda s: F.get(s, F.lit(3))
+aggregation("IsMonotonicallyIncreasing", [NUM], R_BOOL, default=False, segments=("falls", lambda p, v, x: d(v[0]), lambda s: _count(s) == 0), **no_self)
+aggregation("IsMonotonicallyDecreasing", [NUM], R_BOOL, default=False, segments=("rises", lambda p, v, x: d(v[0]), lambda s: _count(s) == 0), **no_self)
+aggregation("NumZeroCrossings", [NUM], R_INT, segments=("changes", lambda p, v, x: F.when(v[0] != 0, F.signum(d(v[0]))), lambda s: _count(s).cast("long")))
+for _name, _test in [("NumFalseSinceLastTrue", lambda v: v), ("NumTrueSinceLastFalse", lambda v: ~v)]:
+    aggregation(_name, [BOOL], R_INT, default=0, segments=("since", lambda p, v, x, t=_test: t(v[0]).cast("int"), lambda s: F.when(F.get(s, F.lit(1)) > 0, F.get(s, F.lit(2)).cast("long"))), **no_self)
 
-aggregation("IsMonotonicallyIncreasing", [NUM], R_BOOL, default=False, **_monotonic(lambda a, b: a >= b), **no_self)
-aggregation("IsMonotonicallyDecreasing", [NUM], R_BOOL, default=False, **_monotonic(lambda a, b: a <= b), **no_self)
-aggregation("NumZeroCrossings", [NUM], R_INT, lambda p, v, x: F.count_if((v[0] != 0) & (F.signum(v[0]) != x.col("s"))),
-            layers=lambda p, v, x: [{"s": F.last(F.when(v[0] != 0, F.signum(v[0])), ignorenulls=True).over(x.w.rowsBetween(-(2**31), -1))}])
+# layers of windows that share one sort
 
 
 def _peak_layers(p, v, x):
@@ -249,16 +221,6 @@ aggregation("NumPeaks", [NUM], R_INT, lambda p, v, x: F.count_if(x.col("new").is
             layers=_peak_layers, default=0, **no_self)
 
 
-def _since_last(mark):
-    return dict(
-        plain=lambda p, v, x: F.when(F.max(x.col("at")).isNotNull(), F.count_if((x.col("rn") > x.col("at")) & v[0].isNotNull() & ~mark(v[0]))),
-        layers=lambda p, v, x: [{"rn": F.row_number().over(x.w)}, {"at": F.max(F.when(mark(v[0]), x.col("rn"))).over(x.group)}],
-    )
-
-
-aggregation("NumFalseSinceLastTrue", [BOOL], R_INT, default=0, **_since_last(lambda b: b), **no_self)
-aggregation("NumTrueSinceLastFalse", [BOOL], R_INT, default=0, **_since_last(lambda b: ~b), **no_self)
-
 # histograms: the inputs are value, count, and first position of each (key, value)
 
 

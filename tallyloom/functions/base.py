@@ -1,11 +1,13 @@
 """How primitives are declared: inputs, result, rules, and the Spark expression they stand for.
 
-An aggregation is lowered in one of four ways, all over rows keyed by (entity, cutoff):
-``plain`` gives an aggregate column; ``layers`` first adds columns by windows that all
-share one sort; ``stats`` first aggregates values per key and joins them back;
-``histogram`` aggregates counts per (key, value). A transform gives a column; windows
-are only used by those that depend on order. ``grouped`` primitives take sorted
-pandas columns of a group and are for what no Spark expression can say.
+An aggregation is lowered in one of five ways, all over rows keyed by (entity, cutoff):
+``plain`` gives an aggregate column; ``segments`` looks at the order of rows through
+states that merge; ``layers`` first adds columns by windows that all share one sort;
+``histogram`` aggregates counts per (key, value). ``stats`` are values aggregated per
+key and joined back before. A transform gives a column; windows
+are only used by those that depend on order. What no Spark expression can say takes
+sorted columns by Arrow batches: ``stream`` primitives carry on from batch to batch,
+``grouped`` ones need a group at once.
 """
 
 from __future__ import annotations
@@ -176,10 +178,12 @@ def _declare(base, registry, cls_name, inputs, returns, methods, flags):
     return cls
 
 
-def aggregation(cls_name: str, inputs, returns, plain=None, *, layers=None, stats=None, histogram=None, **flags):
-    """Declare an aggregation. Functions take (primitive, inputs, context)."""
+def aggregation(cls_name: str, inputs, returns, plain=None, *, layers=None, stats=None, histogram=None, segments=None, **flags):
+    """Declare an aggregation. Functions take (primitive, inputs, context); ``segments`` is (kind, column, result of the merged state)."""
     methods = {"plain": plain or histogram}
-    if layers:
+    if segments:
+        methods.update(kind="segments", segments=segments, **({"stats": stats} if stats else {}))
+    elif layers:
         methods.update(kind="layers", layers=layers)
     elif stats:
         methods.update(kind="stats", stats=stats)
@@ -188,9 +192,15 @@ def aggregation(cls_name: str, inputs, returns, plain=None, *, layers=None, stat
     return _declare(AggregationPrimitive, AGGREGATIONS, cls_name, inputs, returns, methods, flags)
 
 
-def transform(cls_name: str, inputs, returns, column=None, *, grouped=None, **flags):
-    """Declare a transform. ``column`` takes (primitive, inputs, context); ``grouped`` (primitive, pandas columns)."""
+def transform(cls_name: str, inputs, returns, column=None, *, grouped=None, stream=None, **flags):
+    """Declare a transform. ``column`` takes (primitive, inputs, context); ``grouped`` (primitive, pandas columns).
+
+    ``stream`` makes, of the primitive, an object whose ``feed(values, new)`` gives the
+    results of the next rows of sorted groups; it keeps what it needs between batches.
+    """
     methods = {"column": column}
+    if stream:
+        methods.update(kind="stream", stream=stream, ordered=True)
     if grouped:
         methods.update(kind="grouped", grouped=grouped, ordered=True)
     if flags.get("full"):

@@ -186,22 +186,72 @@ transform("ExpandingSTD", [T_INDEX, NUM], R_DOUBLE, _expanding(lambda y, t, w, x
 transform("ExpandingTrend", [T_INDEX, NUM], R_DOUBLE, _expanding(_slope), **_e)
 
 
-# exponentially weighted and smoothed: recursions over the sorted column of a group
+# exponentially weighted: linear recursions that carry over from batch to batch of a sorted column
+def scan(a: np.ndarray, b: np.ndarray, before: float) -> np.ndarray:
+    """y with y[t] = a[t] * y[t - 1] + b[t], in as many vector steps as the length has binary digits."""
+    a, b = a.copy(), b.copy()
+    b[:1] += a[:1] * before
+    step = 1
+    while step < len(b):
+        b[step:] = b[step:] + a[step:] * b[:-step]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return b
+
+
+class Weighted:
+    """Exponentially weighted moments of a stream of groups, one after another; rows of null values repeat the last result."""
+
+    def __init__(self, beta: float, ignore_na: bool, what: str):
+        self.beta, self.ignore, self.what = beta, ignore_na, what
+        self.base, self.sums = 0.0, [0.0] * 4
+
+    def feed(self, x: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Results of the next rows; ``new`` marks rows that begin a group."""
+        known = ~np.isnan(x)
+        value = np.where(known, x, 0.0)
+        # values count from their group's first one, which keeps the squares small
+        starts = np.flatnonzero(new)
+        base = np.r_[self.base, value[starts]][np.searchsorted(starts, np.arange(len(x)), "right")]
+        y = np.where(known, x - base, 0.0)
+        keep = np.where(known, self.beta, 1.0) if self.ignore else np.full(len(x), self.beta)
+        keep[new] = 0.0
+        one = known.astype(float)
+        parts = [scan(k, v, c) for k, v, c in zip((keep, keep, keep * keep, keep), (one, y, one, y * y), self.sums)]
+        if len(x):
+            self.base, self.sums = float(base[-1]), [float(p[-1]) for p in parts]
+        w, wy, w2, wyy = parts
+        with np.errstate(all="ignore"):
+            mean = wy / w
+            if self.what == "mean":
+                return np.where(w > 0, base + mean, np.nan)
+            free = w * w - w2
+            var = np.where(free > 1e-12 * w * w, w * w / free * np.maximum(wyy / w - mean * mean, 0.0), np.nan)
+            return var if self.what == "var" else np.sqrt(var)
+
+
 def _ewm(what):
-    def grouped(p, cols):
+    def stream(p) -> Weighted:
         given = [k for k in ("com", "span", "halflife", "alpha") if getattr(p, k) is not None]
-        kw = {k: getattr(p, k) for k in given} or {"com": 0.5}
-        return getattr(cols[0].astype("float64").ewm(ignore_na=p.ignore_na, **kw), what)()
+        if len(given) > 1:
+            raise ValueError("com, span, halflife and alpha are mutually exclusive")
+        kind = given[0] if given else "com"
+        x = getattr(p, kind) if given else 0.5
+        beta = {"com": lambda: x / (1 + x), "span": lambda: (x - 1) / (x + 1), "halflife": lambda: 0.5 ** (1 / x), "alpha": lambda: 1 - x}[kind]()
+        if not 0 <= beta < 1:
+            raise ValueError(f"{kind} {x} gives no weights")
+        return Weighted(beta, p.ignore_na, what)
 
-    return grouped
+    return stream
 
 
 _w = {"params": {"com": None, "span": None, "halflife": None, "alpha": None, "ignore_na": False}, **full}
-transform("ExponentialWeightedAverage", [NUM], R_DOUBLE, grouped=_ewm("mean"), **_w)
-transform("ExponentialWeightedSTD", [NUM], R_DOUBLE, grouped=_ewm("std"), name="exponential_weighted_std", **_w)
-transform("ExponentialWeightedVariance", [NUM], R_DOUBLE, grouped=_ewm("var"), **_w)
+transform("ExponentialWeightedAverage", [NUM], R_DOUBLE, stream=_ewm("mean"), **_w)
+transform("ExponentialWeightedSTD", [NUM], R_DOUBLE, stream=_ewm("std"), name="exponential_weighted_std", **_w)
+transform("ExponentialWeightedVariance", [NUM], R_DOUBLE, stream=_ewm("var"), **_w)
 
 
+# smoothed: a window over the whole sorted column of a group
 def savgol(y: np.ndarray, window: int, order: int, deriv: int = 0, delta: float = 1.0, mode: str = "interp", cval: float = 0.0) -> np.ndarray:
     """Least-squares polynomial smoothing over a sliding window; the ends take the fit of the first and last window."""
     from math import factorial

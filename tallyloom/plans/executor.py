@@ -21,6 +21,9 @@ import warnings
 from collections import defaultdict
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,7 @@ from tallyloom.features import (
     AggregationFeature, DirectFeature, Feature, FeatureOutputSlice, GroupByTransformFeature, IdentityFeature, TransformFeature,
 )
 from tallyloom.functions.base import Ctx, micros
+from tallyloom.functions.segments import merged, segment_states
 from tallyloom.functions.states import MERGES, has_states, parts_of, result_of
 from tallyloom.timedelta import Timedelta
 
@@ -209,7 +213,7 @@ class Lowering:
             v = [F.col(self.name(b)) for b in f.base_features]
             levels = [t.orders.get(getattr(b, "column", None)) for b in f.base_features]
             x = Ctx(F.col(CTX), order[0] if t.time_index else None, order, keys or [F.lit(0)], [b.schema for b in f.base_features], levels, f"{n}_")
-            if p.kind == "grouped":
+            if p.kind in ("grouped", "stream"):
                 frame = self.by_group(frame, n, f, keys, order, v)
             else:
                 before = p.before(v, x) if hasattr(p, "before") else {}
@@ -223,7 +227,7 @@ class Lowering:
         return frame.withColumns(plain) if plain else frame
 
     def by_group(self, frame: DataFrame, name: str, f: Feature, keys, order, v) -> DataFrame:
-        """A recursion over each group's sorted column, by Arrow batches of whole groups."""
+        """A function of each group's sorted column: fed batch by batch, or, where it needs the group at once, group by group."""
         p, k = f.primitive, len(keys)
         names = [f"k{i}" for i in range(k)] + ["o0", "o1"][: len(order)] + [f"v{i}" for i in range(len(v))]
         cols = [c.alias(a) for c, a in zip([*keys, *order, *v], names)]
@@ -238,7 +242,11 @@ class Lowering:
             pdf[name] = p.grouped([pdf[c].reset_index(drop=True) for c in values]).to_numpy()
             return pdf[["__gid", "__gctx", name]]
 
-        got = part.groupBy(*names[:k]).applyInPandas(run, schema)
+        if p.kind == "stream":
+            part = part.withColumns({a: F.col(a).cast("double") for a in values})
+            got = part.repartition(*names[:k]).sortWithinPartitions(*names[:k], *orders).mapInArrow(_fed(p, k, name, len(orders)), schema)
+        else:
+            got = part.groupBy(*names[:k]).applyInPandas(run, schema)
         on = F.col(ID) == F.col("__gid")
         if self.at is None:
             on = on & (F.col(CTX) == F.col("__gctx"))
@@ -444,6 +452,7 @@ class Lowering:
         out, plain = [], []
         stats: dict[str, Column] = {}
         more: dict[str, Column] = {}
+        ordered: dict[str, tuple] = {}
         layers: list[dict[str, Column]] = []
         for f in feats:
             n, p = self.name(f), f.primitive
@@ -452,7 +461,7 @@ class Lowering:
             if p.kind == "histogram":
                 out.append(self.histogram(rows, keys, n, p, self.name(f.base_features[0]), x))
                 continue
-            if p.kind == "stats":
+            if hasattr(p, "stats"):
                 stats.update({x.prefix + k: c for k, c in p.stats(v).items()})
                 if hasattr(p, "more_stats"):
                     more.update({x.prefix + k: c for k, c in p.more_stats(v, x).items()})
@@ -461,17 +470,38 @@ class Lowering:
                     if len(layers) <= i:
                         layers.append({})
                     layers[i].update({x.prefix + k: c for k, c in layer.items()})
+            if p.kind == "segments":
+                kind, column, result = p.segments
+                ordered[n] = (kind, column(p, v, x), result)
+                continue
             plain.append(p.plain(v, x).alias(n))
+        for of in (stats, more):
+            if of:
+                side = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in of.items()])
+                rows = rows.join(side, keys)
+        if ordered:
+            out.append(self.segments(rows, keys, order, ordered))
         if plain:
-            for of in (stats, more):
-                if of:
-                    side = rows.groupBy(*keys).agg(*[c.alias(k) for k, c in of.items()])
-                    rows = rows.join(side, keys)
             for layer in layers:
                 rows = rows.withColumns(layer)
             out.append(rows.groupBy(*keys).agg(*plain))
         return out
 
+    def segments(self, rows: DataFrame, keys: list[str], order: list[Column], cols: dict[str, tuple]) -> DataFrame:
+        """Aggregations over the order of rows: ranges of (key, order) as partitions, a state per key and range, then the states merged in order."""
+        ks, os, vs = ([f"{a}{i}" for i in range(len(b))] for a, b in (("k", keys), ("o", order), ("v", cols)))
+        picked = rows.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], *[c.alias(a) for c, a in zip(order, os)], *[c.alias(a) for (_, c, _), a in zip(cols.values(), vs)])
+        spread = picked.repartitionByRange(*ks, *os).sortWithinPartitions(*ks, *os)
+        states = [f"s{i}" for i in range(len(cols))]
+        schema = T.StructType([*picked.select(*ks, *os).schema.fields, *[T.StructField(a, T.ArrayType(T.DoubleType())) for a in states]])
+        parts = spread.mapInArrow(segment_states(len(ks), len(os), [k for k, _, _ in cols.values()]), schema)
+        # as many segments of a key as partitions that hold it, each a few numbers
+        got = parts.groupBy(*ks).agg(F.sort_array(F.collect_list(F.struct(*os, *states))).alias("__segments"))
+        return got.select(
+            *[F.col(a).alias(k) for a, k in zip(ks, keys)],
+            *[result(merged(kind, F.col("__segments"), a)).alias(n) for (n, (kind, _, result)), a in zip(cols.items(), states)],
+        )
+
     def histogram(self, rows: DataFrame, keys: list[str], name: str, p, value: str, x: Ctx) -> DataFrame:
         """Counts per (key, value), combined before the shuffle, then one more aggregation."""
         counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(x.prefix + "c"), F.min(x.position).alias(x.prefix + "seen"))
@@ -483,6 +513,30 @@ class Lowering:
         return counts.groupBy(*keys).agg(p.plain([F.col(value)], x).alias(name))
 
 
+def _fed(p, keys: int, name: str, orders: int):
+    """Arrow function over (id, ctx, keys, orders, value) sorted by keys and orders, that feeds a stream primitive."""
+
+    def run(batches):
+        state, last = p.stream(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = batch.columns[2 : 2 + keys]
+            new = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                same = pc.equal(c.slice(1), c.slice(0, len(c) - 1))
+                both = pc.and_(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, len(c) - 1)))
+                new[1:] |= ~pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
+            first = [c[0].as_py() for c in cols]
+            new[0] = first != last
+            last = [c[-1].as_py() for c in cols]
+            x = batch.column(2 + keys + orders).to_numpy(zero_copy_only=False).astype(float)
+            out = state.feed(x, new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, mask=np.isnan(out))], ["__gid", "__gctx", name])
+
+    return run
+
+
 def _floor(ctx: Column, span: Timedelta, numeric: bool) -> Column:
     if numeric:
         return (F.floor(ctx / span.value) * span.value).cast("long")

@@ -192,7 +192,7 @@ def _spread(beta: float) -> str:
 
 
 @query(f"""with e as (select *, row_number() over {W} r from events) select event_id, m.wx / m.w ew_mean, sqrt(s.v) ew_std, v.v ew_var from e join ({_weights(1 / 3)}) m using (event_id)
-  join ({_spread(0.5)}) s using (event_id) join ({_spread(0.6)}) v using (event_id)""", {"ew_mean": 6, "ew_std": 5, "ew_var": 4})
+  join ({_spread(0.5)}) s using (event_id) join ({_spread(0.6)}) v using (event_id)""", {"ew_mean": 6, "ew_std": 4, "ew_var": 2})
 def win_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """Exponentially weighted mean and spread; the SQL sums over pairs of events."""
     es = stream(spark, folder)

@@ -123,6 +123,58 @@ def test_window_transform(es, name):
             assert got[i] is None if w != w else got[i] == pytest.approx(w), (name, i)
 
 
+@pytest.mark.parametrize("kw", [{"com": 0.5}, {"alpha": 0.4, "ignore_na": True}, {"span": 30}, {"halflife": 2}, {"alpha": 0.001}])
+def test_weighted_streams_carry_over_batches(kw):
+    """Two groups fed in pieces of 7 rows: results are those of pandas over each group, however the rows are cut."""
+    rng = np.random.default_rng(2)
+    groups = [np.where(rng.random(n) < 0.2, np.nan, 1e4 + rng.normal(size=n)) for n in (300, 41)]
+    x, new = np.concatenate(groups), np.zeros(341, bool)
+    new[[0, 300]] = True
+    for name, what in (("average", "mean"), ("std", "std"), ("variance", "var")):
+        p = TRANSFORMS[f"exponential_weighted_{name}"](**kw)
+        state = p.stream()
+        got = np.concatenate([state.feed(x[i : i + 7], new[i : i + 7]) for i in range(0, 341, 7)])
+        want = np.concatenate([getattr(pd.Series(g).ewm(**kw), what)() for g in groups])
+        assert got == pytest.approx(want, rel=1e-6, nan_ok=True), name
+    with pytest.raises(ValueError):
+        p = TRANSFORMS["exponential_weighted_average"](com=1, span=3)
+        p.stream()
+
+
+SEQUENCES = ["max_consecutive_true", "max_consecutive_false", "max_consecutive_negatives", "max_consecutive_positives", "max_consecutive_zeros", "num_consecutive_greater_mean",
+             "num_consecutive_less_mean", "is_monotonically_increasing", "is_monotonically_decreasing", "num_zero_crossings", "num_false_since_last_true", "num_true_since_last_false"]
+
+
+def test_a_hot_key_is_cut_into_segments(spark):
+    """One key with nine in ten rows, in many segments, against one segment per key."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2000):
+        k = 1 if i % 10 else int(rng.integers(2, 6))
+        v = None if rng.random() < 0.1 else float(i // 400 if k == 2 else rng.integers(-2, 3))
+        rows.append((i, k, T0 + dt.timedelta(minutes=int(i // 3)), v, None if v is None else v > 0))
+    es = EntitySet("hot").add_dataframe(spark.createDataFrame([(k,) for k in range(1, 7)], "k long"), "keys", "k")
+    es.add_dataframe(spark.createDataFrame(rows, "id long, k long, t timestamp_ntz, v double, b boolean").repartition(3), "rows", "id", "t").add_relationship("keys", "k", "rows", "k")
+    fs = [AggregationFeature([IdentityFeature(es, "rows", AGGREGATIONS[n].inputs[0][0].logical == "Boolean" and "b" or "v")], "keys", n).rename(n) for n in SEQUENCES]
+    got = []
+    for parts, coalesce in (("1", "true"), ("13", "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got.append(sorted(map(tuple, calculate_feature_matrix(fs, es).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1]
+    mine = [r for r in rows if r[1] == 1]
+    vs, bs = [r[3] for r in mine], [r[4] for r in mine]
+    mean = np.mean(skip(vs))
+    signs = [np.sign(v) for v in skip(vs) if v]
+    since = lambda mark: sum(b is (not mark) for b in bs[len(bs) - bs[::-1].index(mark) :])
+    assert got[0][0][1:] == (
+        runs(b is True for b in bs), runs(b is False for b in bs), runs(v < 0 for v in skip(vs)), runs(v > 0 for v in skip(vs)), runs(v == 0 for v in skip(vs)),
+        runs(v > mean for v in skip(vs)), runs(v < mean for v in skip(vs)), False, False, sum(a != b for a, b in zip(signs, signs[1:])), since(True), since(False),
+    )
+
+
 def test_savgol_follows_polynomials():
     x = np.linspace(-2, 3, 40)
     y = x**3 - 2 * x
