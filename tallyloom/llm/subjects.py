@@ -36,7 +36,7 @@ class Settings:
     rate: float = 0.12
     batch_docs: int = 1_000
     most_batches: int = 8
-    part_docs: int = 1_000
+    part_docs: int = 400
     blocks: int = 3
     held_out: int = 15
     seed: int = 7
@@ -127,8 +127,10 @@ class Rows:
     labels: np.ndarray
 
     def vectors(self, e: np.ndarray) -> np.ndarray:
-        z = np.add.reduceat(np.vstack([e[self.col] * self.val[:, None], np.zeros((1, e.shape[1]), e.dtype)]), self.cut[:-1])
-        z[self.cut[1:] == self.cut[:-1]] = 0
+        z = np.zeros((len(self.labels), e.shape[1]), np.float32)
+        full = self.cut[1:] > self.cut[:-1]
+        if full.any():
+            z[full] = np.add.reduceat(e[self.col] * self.val[:, None], self.cut[:-1][full])
         return z
 
     def gradient(self, e: np.ndarray, w: np.ndarray, b: np.ndarray):
@@ -331,11 +333,12 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], settings: Setti
         "p8labels",
     )
     n, held = marked.count(), s.held_out * 10
+    parts = max(1, -(-n // s.part_docs))
     shares = max(1, min(s.most_batches, n * (100 - s.held_out) // 100 // s.batch_docs))
     labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most most_labelled rows
     train = materialize(
         labelled.select("own", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000)).cast("int").alias("fold"))
-        .repartition(max(1, -(-n // s.part_docs)))
+        .repartition(parts)
         .mapInArrow(_features(len(subjects), held, shares), TRAIN),
         "p8train",
         ("share",),
@@ -357,14 +360,9 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], settings: Setti
     block_rows = max(1, -(-len(seen) // s.blocks))
     for t in range(s.steps if len(seen) else 0):
         shared = sc.broadcast(tuple(params))
-        got = (
-            taught.where(F.col("share") == t % shares)
-            .mapInArrow(_gradients(index, shared, block_rows), "block int, at binary, grad binary")
-            .repartition(s.blocks, "block")
-            .mapInArrow(_summed(block_rows, s.dim), "block int, live binary, steps binary, scale binary")
-            .toArrow()
-            .to_pylist()
-        )
+        own = taught.where(F.col("share") == t % shares).mapInArrow(_gradients(index, shared, block_rows), "block int, at binary, grad binary")
+        spread = own.repartition(s.blocks, "block") if parts > 1 else own.coalesce(1)
+        got = spread.mapInArrow(_summed(block_rows, s.dim), "block int, live binary, steps binary, scale binary").toArrow().to_pylist()
         shared.destroy()
         rest = [np.frombuffer(r["scale"], np.float32) for r in got if r["block"] == REST]
         if not rest:
