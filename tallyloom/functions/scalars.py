@@ -232,6 +232,11 @@ PUNCTUATION = strings.punctuation
 _punct = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 _counted = {"default": 0}
 SPLIT = "[ \n\t]"
+#: What counts as a word's character, a character of it that is no digit, and blank.
+WORD, LETTER, BLANK = r"[\p{L}\p{N}_]", r"[\p{L}\p{Nl}\p{No}_]", r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WORD = WORD.replace("[", "[^", 1)
+#: The rest of the code points, those met most often first: a class is tried range by range.
+NOT_BLANK = r"[!-\x{84}\x{3001}-\x{10ffff}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{86}-\x{9f}\x{00}-\x{08}\x{0e}-\x{1b}]"
 
 
 def stripped(w: Column) -> Column:
@@ -242,6 +247,11 @@ def words(t: Column, pattern: str = SPLIT) -> Column:
     return F.split(t, pattern)
 
 
+def let(value: Column, use, where: Column) -> Column:
+    """``use`` of a value that is worked out once, where the condition holds."""
+    return F.when(where, F.get(F.transform(F.array(value), use), F.lit(0)))
+
+
 def count_of(pattern: str):
     return lambda p, v, x: F.regexp_count(v[0], F.lit(pattern)).cast("long")
 
@@ -263,19 +273,18 @@ transform("CountString", [TEXT], R_INT, _count_string,
 
 
 def _mean_length(p, v, x):
-    ws = F.filter(F.split(F.regexp_replace(v[0], r"[!,.:;?]+(?:\z|[ \n])", " "), BLANK + "+"), lambda w: w != "")
-    total = F.aggregate(ws, F.lit(0), lambda a, w: a + F.char_length(w))
-    return F.when(v[0].isNotNull(), F.coalesce(F.try_divide(d(total), F.size(ws)), F.lit(0.0)))
+    """Characters that are not blank over runs of them, once signs at the ends of words are gone; two passes over the text, no list of words."""
+    clean = F.regexp_replace(v[0], r"[!,.:;?]+(?:\z|[ \n])", " ")
+    return let(clean, lambda t: F.coalesce(F.try_divide(d(F.char_length(t) - F.char_length(F.regexp_replace(t, NOT_BLANK + "+", ""))), F.regexp_count(t, F.lit(NOT_BLANK + "+"))), F.lit(0.0)), v[0].isNotNull())
 
 
 transform("MeanCharactersPerWord", [TEXT], R_DOUBLE, _mean_length, **_counted)
 
 
 def _median_length(p, v, x):
-    lengths = F.array_sort(F.transform(F.filter(F.split(v[0], p.delimiters_regex), lambda w: w != ""), F.char_length))
-    n = F.size(lengths)
-    at = lambda i: F.get(lengths, i)
-    return F.when(n > 0, (at(F.floor((n - 1) / 2).cast("int")) + at(F.floor(n / 2).cast("int"))) / 2.0)
+    lengths = F.sort_array(F.transform(F.filter(F.split(v[0], p.delimiters_regex), lambda w: w != ""), F.char_length))
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2.0
+    return let(lengths, lambda a: F.when(F.size(a) > 0, middle(a)), v[0].isNotNull())
 
 
 transform("MedianWordLength", [TEXT], R_DOUBLE, _median_length, params={"delimiters_regex": SPLIT}, **_counted)
@@ -287,19 +296,16 @@ transform("NumUniqueSeparators", [TEXT], R_INT,
 transform("NumWords", [TEXT], R_INT, lambda p, v, x: F.when(v[0].isNotNull(), F.size(F.filter(words(v[0]), lambda w: stripped(w) != ""))).cast("long"))
 def _common(p, v, x):
     known = sorted(common_words(p.vocabularies, p.most_words) if p.word_set is None else p.word_set)
-    return F.when(v[0].isNotNull(), F.size(F.filter(F.split(v[0], p.delimiters_regex), lambda w: stripped(F.lower(w)).isin(known)))).cast("long")
+    return F.when(v[0].isNotNull(), F.size(F.filter(F.split(F.lower(v[0]), p.delimiters_regex), lambda w: stripped(w).isin(known)))).cast("long")
 
 
 transform("NumberOfCommonWords", [TEXT], R_INT, _common,
           params={"word_set": None, "delimiters_regex": SPLIT, "vocabularies": VOCABULARIES, "most_words": 1_000}, **_counted)
 
-#: What counts as a word's character, a character of it that is no digit, and blank.
-WORD, LETTER, BLANK = r"[\p{L}\p{N}_]", r"[\p{L}\p{Nl}\p{No}_]", r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_WORD, NOT_BLANK = WORD.replace("[", "[^", 1), BLANK.replace("[", "[^", 1)
 _no_at = "".join("\\" + c for c in PUNCTUATION if c != "@")
 #: Patterns of a hashtag, of a mention, of a title word, and of what two quotation marks enclose.
-HASHTAG = rf"(?:^|{BLANK})#{WORD}*{LETTER}{WORD}*(?!#|{WORD})"
-MENTION = rf"(?:^|{BLANK})@{WORD}+(?={BLANK}|$|[{_no_at}])"
+HASHTAG = rf"#(?<!{NOT_BLANK}#){WORD}*{LETTER}{WORD}*(?!#|{WORD})"
+MENTION = rf"@(?<!{NOT_BLANK}@){WORD}+(?={BLANK}|$|[{_no_at}])"
 TITLE = rf"[A-Z]{NOT_BLANK}*"
 QUOTED = {"double": rf'(?:^|{NOT_WORD})".*?"(?!{WORD})', "single": rf"(?:^|{NOT_WORD})'.*?'(?!{WORD})"}
 transform("NumberOfHashtags", [TEXT], R_INT, count_of(HASHTAG), **_counted)
@@ -308,7 +314,7 @@ transform("NumberOfMentions", [TEXT], R_INT, count_of(MENTION), **_counted)
 
 def _unique_words(p, v, x):
     text = F.lower(v[0]) if p.case_insensitive else v[0]
-    ws = F.filter(F.transform(F.split(text, BLANK + "+"), stripped), lambda w: w != "")
+    ws = F.filter(F.transform(F.regexp_extract_all(text, F.lit(NOT_BLANK + "+"), 0), stripped), lambda w: w != "")
     return F.when(v[0].isNotNull(), F.size(F.array_distinct(ws))).cast("long")
 
 

@@ -209,6 +209,14 @@ def test_text(spark, name):
         assert got[i] == (None if t is None else pytest.approx(TEXT_CASES[name](t))), (name, t[:50])
 
 
+def test_blank_and_the_rest_share_out_all_characters():
+    """Both classes by Python's own engine: every character is in one of them, and blank is what Python calls so."""
+    own = lambda c: re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", c))
+    blank, rest = own(scalars.BLANK), own(scalars.NOT_BLANK)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert all(bool(blank.match(c)) == c.isspace() == (not rest.match(c)) for c in chars)
+
+
 def test_lists_of_names(tmp_path):
     path = tmp_path / "list.txt"
     path.write_text("// a comment\n.Com\n\nco.uk\n")
