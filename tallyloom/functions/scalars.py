@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string as strings
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -182,11 +183,60 @@ HOLIDAYS = {
 LAST_YEAR = 2074
 
 
-def holiday_name(t: Column) -> Column:
-    """Name of the holiday a date falls on, those moved to the Friday or Monday beside a weekend included."""
+def easter(year: int) -> date:
+    """Easter Sunday of the Gregorian calendar, by the anonymous algorithm."""
+    a, (b, c) = year % 19, divmod(year, 100)
+    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+    rest = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+    month, day = divmod(h + rest - 7 * ((a + 11 * h + 22 * rest) // 451) + 114, 31)
+    return date(year, month, day + 1)
+
+
+def _from_easter(days: int):
+    return lambda y: easter(y) + timedelta(days)
+
+
+def _every(month: int, day: int, since: int = 0):
+    return lambda y: date(y, month, day) if y >= since else None
+
+
+#: The national holidays of other countries by name, as rules from a year to a date; ``add_calendar`` adds more.
+CALENDARS: dict[str, dict] = {
+    "DE": {
+        "Neujahr": _every(1, 1), "Karfreitag": _from_easter(-2), "Ostermontag": _from_easter(1), "Erster Mai": _every(5, 1), "Christi Himmelfahrt": _from_easter(39),
+        "Pfingstmontag": _from_easter(50), "Tag der Deutschen Einheit": _every(10, 3, 1990), "Erster Weihnachtstag": _every(12, 25), "Zweiter Weihnachtstag": _every(12, 26),
+    },
+    "FR": {
+        "Jour de l'an": _every(1, 1), "Lundi de Pâques": _from_easter(1), "Fête du Travail": _every(5, 1), "Fête de la Victoire": _every(5, 8), "Ascension": _from_easter(39),
+        "Lundi de Pentecôte": _from_easter(50), "Fête nationale": _every(7, 14), "Assomption": _every(8, 15), "Toussaint": _every(11, 1), "Armistice": _every(11, 11), "Noël": _every(12, 25),
+    },
+}
+
+
+def add_calendar(country: str, rules: dict) -> None:
+    """Make a country's holidays known: name -> function from a year to a date, or to None in years without it."""
+    CALENDARS[country] = dict(rules)
+
+
+def _countries() -> list[str]:
+    return ["US", *CALENDARS]
+
+
+def _dates(rule) -> list[date]:
+    return [d_ for y in range(1950, LAST_YEAR + 1) if (d_ := rule(y)) is not None]
+
+
+def holiday_name(t: Column, country: str = "US") -> Column:
+    """Name of the holiday a date falls on; in the United States those moved to the Friday or Monday beside a weekend included."""
     day, y = F.to_date(t), F.year(t)
-    known = lambda since: (y >= since) & (y <= LAST_YEAR)
     out = F.when(day.isNull(), F.lit(None).cast("string"))
+    if country in CALENDARS:
+        for name, rule in CALENDARS[country].items():
+            out = out.when(day.isin(_dates(rule)), F.lit(name))
+        return out
+    if country != "US":
+        raise ValueError(f"must be one of the available countries: {', '.join(_countries())}")
+    known = lambda since: (y >= since) & (y <= LAST_YEAR)
     for name, (when, since, _) in HOLIDAYS.items():
         out = out.when(known(since) & (day == when(y)), F.lit(name))
     for name, (when, since, moves) in HOLIDAYS.items():
@@ -197,30 +247,30 @@ def holiday_name(t: Column) -> Column:
 
 
 def _holiday_distance(p, v, x):
-    if p.holiday not in HOLIDAYS:
-        raise ValueError(f"must be one of the available holidays: {list(HOLIDAYS)}")
-    when, since, _ = HOLIDAYS[p.holiday]
     day = F.to_date(v[0])
-    near = F.array(*[
-        F.when((F.year(day) + k >= since) & (F.year(day) + k <= LAST_YEAR), F.datediff(when(F.year(day) + F.lit(k)), day)) for k in (-1, 0, 1)
-    ])
+    if p.country in CALENDARS:
+        if p.holiday not in CALENDARS[p.country]:
+            raise ValueError(f"must be one of the available holidays: {list(CALENDARS[p.country])}")
+        near = F.transform(F.array(*[F.lit(x) for x in _dates(CALENDARS[p.country][p.holiday])]), lambda h: F.datediff(h, day))
+    else:
+        if p.country != "US":
+            raise ValueError(f"must be one of the available countries: {', '.join(_countries())}")
+        if p.holiday not in HOLIDAYS:
+            raise ValueError(f"must be one of the available holidays: {list(HOLIDAYS)}")
+        when, since, _ = HOLIDAYS[p.holiday]
+        near = F.array(*[
+            F.when((F.year(day) + k >= since) & (F.year(day) + k <= LAST_YEAR), F.datediff(when(F.year(day) + F.lit(k)), day)) for k in (-1, 0, 1)
+        ])
     best = F.array_min(F.transform(F.filter(near, lambda n: F.abs(n) <= 365), lambda n: F.struct(F.abs(n).alias("a"), n.alias("n"))))
     return best.getField("n")
 
 
-def _us_only(p):
-    if p.country != "US":
-        raise ValueError("must be one of the available countries: US")
-
-
 def _holiday(p, v, x):
-    _us_only(p)
-    return holiday_name(v[0])
+    return holiday_name(v[0], p.country)
 
 
 def _is_holiday(p, v, x):
-    _us_only(p)
-    return F.when(v[0].isNotNull(), holiday_name(v[0]).isNotNull())
+    return F.when(v[0].isNotNull(), holiday_name(v[0], p.country).isNotNull())
 
 
 transform("DateToHoliday", [TIME], R_CAT, _holiday, params={"country": "US"})

@@ -37,14 +37,15 @@ def test_tree_aggregate_matches_plain_group_by(spark):
     rng = random.Random(1)
     rows = [(i, 7 if rng.random() < 0.4 else rng.choice([None, 1, 2, 3]), rng.choice([None, rng.randrange(-50, 50)])) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, k long, v long").withColumn("__tree_node_", F.lit(1))
-    states = {"n": (F.lit(1).cast("long"), "sum"), "s": (F.col("v"), "sum"), "lo": (F.col("v"), "min"), "hi": (F.col("v"), "max")}
+    states = {"n": (F.lit(1).cast("long"), "sum"), "s": (F.col("v"), "sum"), "lo": (F.col("v"), "min"), "hi": (F.col("v"), "max"), "known": (F.col("v"), "count"), "mean": (F.col("v"), "mean"), "kinds": (F.col("v"), "distinct")}
     got = {r["k"]: tuple(r)[1:] for r in tree_aggregate(df, ["k"], states, ["id"], chunk_rows=64, fan_in=3).collect()}
     want = defaultdict(list)
     for _, k, v in rows:
         want[k].append(v)
     for k, vs in want.items():
         known = [v for v in vs if v is not None]
-        assert got[k] == (len(vs), sum(known), min(known), max(known))
+        assert got[k][:5] == (len(vs), sum(known), min(known), max(known), len(known)) and got[k][5] == pytest.approx(sum(known) / len(known))
+        assert got[k][6] == pytest.approx(len(set(known)), rel=0.05)
     assert set(got) == set(want)
     assert tree_aggregate(df.limit(0), ["k"], states, ["id"]).count() == 0
     with pytest.raises(ValueError):

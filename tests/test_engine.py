@@ -353,3 +353,16 @@ def test_correlations_with_nulls_and_constants(spark):
     want = pd.DataFrame(rows, columns=m.columns).astype(float).corr()
     for (x, y), r in got.items():
         assert r == pytest.approx(want.loc[x, y], abs=1e-6, nan_ok=True), (x, y)
+
+
+def test_recommendations(spark):
+    from tallyloom.plans.recommend import get_recommended_primitives
+
+    rows = [(i, at(i * 40), f"word {i % 3}", float(2**i), float(i % 2), i % 2 == 0) for i in range(1, 12)]
+    es = EntitySet("one").add_dataframe(spark.createDataFrame(rows, "id long, t timestamp_ntz, s string, big double, flat double, b boolean"), "t", "id", "t", {"s": "NaturalLanguage"})
+    got = set(get_recommended_primitives(es))
+    assert {"day", "hour", "num_unique_separators", "natural_logarithm"} - got == {"num_unique_separators"}
+    assert not {"is_year_end", "square_root", "lag", "rolling_mean", "and", "year"} & got
+    assert {"lag", "rolling_mean", "expanding_max", "day"} <= set(get_recommended_primitives(es, True))
+    with pytest.raises(IndexError):
+        get_recommended_primitives(EntitySet("none"))

@@ -250,6 +250,22 @@ def test_holidays(spark):
     assert {r[0]: r[1] for r in df.collect()} == days
 
 
+def test_holidays_of_other_countries(spark):
+    known = {1961: (4, 2), 2000: (4, 23), 2008: (3, 23), 2024: (3, 31), 2038: (4, 25)}
+    assert {y: (scalars.easter(y).month, scalars.easter(y).day) for y in known} == known
+    days = [("2024-03-29", "Karfreitag", None), ("2024-05-09", "Christi Himmelfahrt", "Ascension"), ("2023-04-10", "Ostermontag", "Lundi de Pâques"), ("1989-10-03", None, None), ("2024-07-14", None, "Fête nationale")]
+    df = spark.createDataFrame([(d,) for d, *_ in days], "d string").select("d", F.col("d").cast("timestamp_ntz").alias("t"))
+    got = df.select("d", scalars.holiday_name(F.col("t"), "DE"), scalars.holiday_name(F.col("t"), "FR")).collect()
+    assert [tuple(r) for r in got] == days
+    to = TRANSFORMS["distance_to_holiday"](holiday="Karfreitag", country="DE").column([F.col("t")], None)
+    assert [r[0] for r in df.select(to).collect()] == [0, -41, -3, 192, -107]
+    scalars.add_calendar("XX", {"Only once": lambda y: dt.date(2024, 3, 29) if y == 2024 else None})
+    assert [r[0] for r in df.select(TRANSFORMS["is_federal_holiday"](country="XX").column([F.col("t")], None)).collect()] == [True, False, False, False, False]
+    del scalars.CALENDARS["XX"]
+    with pytest.raises(ValueError):
+        scalars.holiday_name(F.col("t"), "XX")
+
+
 def test_wrong_parameters():
     with pytest.raises(ValueError):
         lookup("no_such", "aggregation")
