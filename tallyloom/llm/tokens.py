@@ -174,9 +174,9 @@ def pre_tokens(ch: Chars) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes runs of texts; remembers how missed pre-tokens were split, up to a bound."""
+    """Encodes runs of texts; remembers how missed pre-tokens of up to LONGEST bytes were split, up to a bound on them all."""
 
-    REMEMBER = 500_000
+    REMEMBER, LONGEST = 500_000, 128
 
     def __init__(self, vocabulary: dict):
         self.v = vocabulary
@@ -216,7 +216,9 @@ class Encoder:
             w = text[a:b]
             got = seen.get(w)
             if got is None:
-                got = seen[w] = encode(w)
+                got = encode(w)
+                if len(w) <= self.LONGEST:
+                    seen[w] = got
             parts.append(got)
         per[miss] = [len(p) for p in parts]
         run = np.r_[0, np.cumsum(per)]
