@@ -12,6 +12,9 @@ from tallyloom.operators.postprocess import (
 )
 from tallyloom.plans.executor import calculate_feature_matrix
 from tallyloom.plans.planner import DeepFeatureSynthesis, dfs, get_valid_primitives, list_primitives, summarize_primitives
+from tallyloom.functions.scalars import add_calendar
+from tallyloom.info import show_info
+from tallyloom.plans.recommend import get_recommended_primitives
 from tallyloom.timedelta import Timedelta
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -104,12 +104,12 @@ aggregation(
 aggregation("IsUnique", [CAT], R_BOOL, lambda p, v, x: F.count(F.lit(1)) == F.count_distinct(v[0]) + _null_is_value(v[0]), default=False, **no_self)
 aggregation("Mode", [CAT], None, lambda p, v, x: F.mode(v[0], True))
 
-# distinct parts of dates
+# distinct parts of dates: sets of at most the calendar's days, which merge within one grouping; a distinct count each would multiply the rows
 for _name, _part in {
     "NUniqueDays": lambda v: F.date_trunc("day", v), "NUniqueDaysOfCalendarYear": lambda v: F.month(v) * 100 + F.dayofmonth(v),
     "NUniqueDaysOfMonth": F.dayofmonth, "NUniqueMonths": lambda v: F.date_trunc("month", v), "NUniqueWeeks": lambda v: F.date_trunc("week", v),
 }.items():
-    aggregation(_name, [TIME], R_INT, lambda p, v, x, part=_part: F.count_distinct(part(v[0])), default=0, name={
+    aggregation(_name, [TIME], R_INT, lambda p, v, x, part=_part: F.size(F.collect_set(part(v[0]))).cast("long"), default=0, name={
         "NUniqueDays": "n_unique_days", "NUniqueDaysOfCalendarYear": "n_unique_days_of_calendar_year", "NUniqueDaysOfMonth": "n_unique_days_of_month",
         "NUniqueMonths": "n_unique_months", "NUniqueWeeks": "n_unique_weeks"}[_name], **no_self)
 

@@ -366,3 +366,11 @@ def test_recommendations(spark):
     assert {"lag", "rolling_mean", "expanding_max", "day"} <= set(get_recommended_primitives(es, True))
     with pytest.raises(IndexError):
         get_recommended_primitives(EntitySet("none"))
+
+
+def test_info(capsys):
+    from tallyloom.info import show_info
+
+    show_info()
+    said = capsys.readouterr().out
+    assert "pyspark: 4" in said and "python: 3" in said
